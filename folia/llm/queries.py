@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import packing, quality_rules, suffix_dedup, tokens
 from .common import table
 
 
@@ -12,6 +12,9 @@ def _documents(query):
 
 QUERIES = {
     "op1_quality_rules": _documents(quality_rules.query),
+    "op2_best_fit_packing": _documents(packing.query),
+    "op4_token_counts": _documents(tokens.query),
+    "op5_suffix_dedup": _documents(suffix_dedup.query),
 }
 
 ORACLE_SQL = {
