@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, suffix_dedup, tokens
+from . import ngram_join, packing, quality_rules, suffix_dedup, tokens
 from .common import table
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_best_fit_packing": _documents(packing.query),
     "op4_token_counts": _documents(tokens.query),
     "op5_suffix_dedup": _documents(suffix_dedup.query),
+    "op6_ngram_jaccard_join": _documents(ngram_join.query),
 }
 
 ORACLE_SQL = {
