@@ -83,12 +83,12 @@ def _runs(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(text: str | None, letters: bool = False) -> np.ndarray:
+def word_hashes(text: str | None, letters: bool = False, prefix: int = 0) -> np.ndarray:
     """64-bit hashes of the words of a text, in order.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with ``letters`` the text is
     lower-cased as Unicode and only ASCII letters, digits and non-ASCII bytes make words,
-    so punctuation and symbols do not matter.
+    so punctuation and symbols do not matter. With ``prefix`` only so many bytes of each word count.
     """
     raw = (text or "").lower().encode("utf-8", "replace") if letters else (text or "").encode("utf-8", "replace").lower()
     data = np.frombuffer(raw, np.uint8)
@@ -97,7 +97,7 @@ def word_hashes(text: str | None, letters: bool = False) -> np.ndarray:
     starts, ends = _runs(_ALNUM[data] if letters else ~_SPACE[data])
     if not len(starts):
         return np.empty(0, _U)
-    return Fingerprints(data).of(starts, ends)
+    return Fingerprints(data).of(starts, np.minimum(ends, starts + prefix) if prefix else ends)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

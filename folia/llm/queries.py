@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, quality_rules, suffix_dedup, tokens
+from . import decontamination, ngram_join, packing, quality_rules, suffix_dedup, tokens, toxicity
 from .common import table
 
 
@@ -13,9 +13,11 @@ def _documents(query):
 QUERIES = {
     "op1_quality_rules": _documents(quality_rules.query),
     "op2_best_fit_packing": _documents(packing.query),
+    "op3_toxicity_chain": toxicity.query,
     "op4_token_counts": _documents(tokens.query),
     "op5_suffix_dedup": _documents(suffix_dedup.query),
     "op6_ngram_jaccard_join": _documents(ngram_join.query),
+    "op10_benchmark_decontamination": decontamination.query,
 }
 
 ORACLE_SQL = {
