@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, ngram_join, packing, quality_rules, suffix_dedup, tokens, toxicity
+from . import decontamination, licenses, ngram_join, packing, pii, quality_rules, suffix_dedup, tokens, toxicity
 from .common import table
 
 
@@ -17,9 +17,12 @@ QUERIES = {
     "op4_token_counts": _documents(tokens.query),
     "op5_suffix_dedup": _documents(suffix_dedup.query),
     "op6_ngram_jaccard_join": _documents(ngram_join.query),
+    "op7_license_scan": _documents(licenses.query),
+    "op8_pii_surrogates": _documents(pii.query),
     "op10_benchmark_decontamination": decontamination.query,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op7_license_scan": licenses.ORACLE,
 }
