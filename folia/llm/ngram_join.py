@@ -333,11 +333,14 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of linked ones, the one of least doc_id; documents without words stay."""
-    found = ngram_join(docs, words, percent)
+    """One document of each group of linked ones, the one of least doc_id; documents without words
+    stay. Of repeated rows (equal doc_id and text) one stays."""
+    found = materialize(ngram_join(docs, words, percent), "groups")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, ngram_join, packing, pii, quality_rules, suffix_dedup, tokens, toxicity
+from . import decontamination, html_text, licenses, ngram_join, packing, pii, quality_rules, suffix_dedup, tokens, toxicity
 from .common import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": _documents(ngram_join.query),
     "op7_license_scan": _documents(licenses.query),
     "op8_pii_surrogates": _documents(pii.query),
+    "op9_html_extraction": html_text.query,
     "op10_benchmark_decontamination": decontamination.query,
 }
 
