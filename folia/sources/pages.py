@@ -82,8 +82,8 @@ def markdown_pages(files: DataFrame, page_numbers: list[int]) -> DataFrame:
     wanted = F.array(*map(F.lit, page_numbers))
     whole = F.transform(wanted, lambda _: F.col("f")[0]["content"])
     texts = F.when(F.size("f") > 1, F.transform("f", lambda x: x["content"])).when(F.size(parts) >= len(page_numbers), parts).otherwise(whole)
-    zipped = F.filter(F.arrays_zip(wanted.alias("page_number"), texts.alias("text")), lambda z: z["0"].isNotNull() & z["1"].isNotNull())
-    return grouped.select("doc_id", F.explode(zipped).alias("z")).select("doc_id", F.col("z.0").alias("page_number"), F.col("z.1").alias("text"))
+    zipped = F.zip_with(wanted, texts, lambda n, t: F.struct(n.alias("page_number"), t.alias("text")))
+    return grouped.select("doc_id", F.explode(zipped).alias("z")).select("doc_id", "z.page_number", "z.text").where("page_number IS NOT NULL AND text IS NOT NULL")
 
 
 def ground_truth(raw: DataFrame) -> DataFrame:
