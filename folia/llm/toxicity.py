@@ -39,7 +39,7 @@ LEVELS = (1, 2, 4)
 #: least standard score of its log-odds.
 MOST_WORDS = 4_000
 LEAST_DOCS = 5
-LEAST_SCORE = 4.0
+LEAST_SCORE = 3.0
 STEPS = 150
 PENALTY = 1e-3
 
