@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Equivalent spellings (fixed values): the first is written as the second.
-SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"),
+SPELLINGS = [("licence", "license"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"),
              ("authorised", "authorized"), ("copyright owner", "copyright holder"), ("favour", "favor"), ("fulfilment", "fulfillment"),
              ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("organisation", "organization"),
              ("per cent", "percent"), ("redistributions", "redistribution"), ("https", "http")]

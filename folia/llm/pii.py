@@ -94,7 +94,8 @@ def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Colu
     given = F.when(female, pick(NAMES["f"])).otherwise(pick(NAMES["m"]))
     family = F.initcap(F.lower(_letters(F.regexp_extract(value, r"(\S+)$", 1), seed)))
     latin = ~value.rlike(r"[^\p{IsLatin}. ]")
-    person = F.concat(title, F.when(latin, F.concat(given, F.lit(" "), family)).otherwise(plain))
+    name = F.regexp_replace(value, r"^\S+ ", "")
+    person = F.concat(title, F.when(latin, F.concat(given, F.lit(" "), family)).otherwise(_letters(name, seed)))
     return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "person", person)
             .when(kind == "secret", secret).otherwise(plain))
 
