@@ -2,8 +2,8 @@
 
 All arithmetic is modulo 2**64. A buffer is turned into prefix sums
 ``P[i] = sum_{j<i} table[byte_j] * r**j``; the fingerprint of ``[a, b)`` is
-``(P[b] - P[a]) * r**-a``, mixed with a second, independent sum so that the weak
-low bits of one sum do not matter.
+``(P[b] - P[a]) * r**-a``, mixed with the length. Long ranges use a second, independent
+sum too, so that the weak low bits of one do not matter; for words one is enough.
 """
 
 from __future__ import annotations
@@ -54,10 +54,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Fingerprints:
     """Constant-time fingerprints of any byte range of one buffer."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, sums: int = 2):
         n = len(data)
         self.sums = []
-        for base, tab in zip(_BASES, _TABLES):
+        for base, tab in list(zip(_BASES, _TABLES))[:sums]:
             p = np.empty(n + 1, _U)
             p[0] = 0
             np.cumsum(tab[data] * _power(base, n), out=p[1:])
@@ -65,10 +65,10 @@ class Fingerprints:
             self.sums.append((p, _power(inverse, n + 1)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        (p, pi), (q, qi) = self.sums
-        a = (p[end] - p[start]) * pi[start]
-        b = (q[end] - q[start]) * qi[start]
-        return mix(a ^ mix(b + (end - start).astype(_U)))
+        h = (end - start).astype(_U)
+        for p, inverse in reversed(self.sums):
+            h = mix(h + (p[end] - p[start]) * inverse[start])
+        return h
 
 
 _SPACE = np.zeros(256, bool)
@@ -97,7 +97,7 @@ def word_hashes(text: str | None, letters: bool = False, prefix: int = 0) -> np.
     starts, ends = _runs(_ALNUM[data] if letters else ~_SPACE[data])
     if not len(starts):
         return np.empty(0, _U)
-    return Fingerprints(data).of(starts, np.minimum(ends, starts + prefix) if prefix else ends)
+    return Fingerprints(data, 1).of(starts, np.minimum(ends, starts + prefix) if prefix else ends)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -113,16 +113,39 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _octets(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one number (a view)."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
+def gram_order(data: np.ndarray) -> np.ndarray:
+    """A hash of the 16 bytes from each position, to choose anchors by."""
+    x = _octets(data)
+    h = x[:-8] * _U(0x9E3779B97F4A7C15)
+    h ^= x[8:] * _U(0xC2B2AE3D27D4EB4F)
+    h ^= h >> _U(31)
+    h *= _U(0xBF58476D1CE4E5B9)
+    return h
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` bytes (8 at least) from each of a few positions, read eight at a time."""
+    x = _octets(data)
+    h = np.full(len(start), _U(size))
+    for k in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
+        h = (h ^ x[start + k]) * _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(29)
+    return mix(h)
+
+
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost minimum of every w-window of x (len(x) >= w)."""
-    order = x.copy()
-    pos = np.arange(len(x))
+    """Position of the leftmost minimum of the high bits of every w-window of x (len(x) >= w)."""
+    bits = _U(max(1, len(x).bit_length()))
+    low = (_U(1) << bits) - _U(1)
+    best = (x & ~low) | np.arange(len(x), dtype=_U)
     span = 1
     while span < w:
         step = min(span, w - span)
-        left, right = order[:-step], order[step:]
-        take = right < left
-        pos = np.where(take, pos[step:], pos[:-step])
-        order = np.where(take, right, left)
+        best = np.minimum(best[:-step], best[step:])
         span += step
-    return pos
+    return (best & low).astype(np.int64)

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .hashing import Fingerprints, sliding_argmin
+from .hashing import Fingerprints, gram_order, range_hashes, sliding_argmin
 
 LENGTH = 400
 GRAM = 16
-BLOCKS = (16, 1)
+BLOCKS = (64, 8, 1)
 #: Bytes handled at once within a text: bounds a worker's memory.
 SLICE = 1 << 20
 
@@ -55,12 +55,10 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     places, ranks = [], []
     for a in range(0, max(0, n - length + 1), SLICE):
         part = np.frombuffer(data, np.uint8, min(n - a, SLICE + length - 1), a)
-        f = Fingerprints(part)
-        starts = np.arange(len(part) - seed + 1)
-        grams = f.of(starts, starts + GRAM)
-        at = np.unique(sliding_argmin(grams, window))
+        at = sliding_argmin(gram_order(part)[: len(part) - seed + 1], window)
+        at = at[np.diff(at, prepend=-1) > 0]
         places.append(at + a)
-        ranks.append(f.of(at, at + seed))
+        ranks.append(range_hashes(part, at, seed))
     if not places:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     at, keep = np.unique(np.concatenate(places), return_index=True)
@@ -79,9 +77,7 @@ def open_blocks(data: bytes, repeated: np.ndarray, length: int, size: int) -> tu
     out = [np.empty((3, 0), np.int64)]
     for a in range(0, max(0, n - length + 1), SLICE):
         part = np.frombuffer(data, np.uint8, min(n - a, SLICE + length - 1), a)
-        f = Fingerprints(part)
-        starts = np.arange(len(part) - seed + 1)
-        at = sliding_argmin(f.of(starts, starts + GRAM), window)
+        at = sliding_argmin(gram_order(part)[: len(part) - seed + 1], window)
         i = np.flatnonzero(known[at + a])
         if not len(i):
             continue
@@ -111,11 +107,19 @@ def _positions(flat) -> np.ndarray:
 
 def _emit_anchors(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # copies within the partition add no place
         for b in batches:
+            out = [np.empty((3, 0), np.int64)]
             for key, text in zip(b["key"], b["text"]):
+                if key in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(key)
                 at, rank = anchors(text.encode(), length)
-                if len(at):
-                    yield pd.DataFrame({"rank": rank.view(np.int64), "key": key, "at": at.astype(np.int32)})
+                out.append(np.stack((rank.view(np.int64), np.full(len(at), key), at)))
+            rank, key, at = np.concatenate(out, axis=1)
+            yield pd.DataFrame({"rank": rank, "key": key, "at": at.astype(np.int32)})
 
     return run
 
@@ -125,22 +129,34 @@ def _emit_blocks(length: int, size: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for key, text, first, last, base in zip(b["key"], b["text"], b["first"], b["last"], b["base"]):
+            out = [np.empty((6, 0), np.int64)]
+            for key, text, first, last, base, before in zip(b["key"], b["text"], b["first"], b["last"], b["base"], b["size"]):
                 data = text.encode()
-                f, z, s = _positions(first), _positions(last), _positions(base)
-                if size == 1:
-                    f = z = s = np.repeat(f - np.append(0, np.cumsum(z - f + 1)[:-1]), z - f + 1) + np.arange((z - f + 1).sum())
+                f, z, s = _split(_positions(first), _positions(last), _positions(base), before, size)
                 cores = _ranks(data, s + size - 1, s + length)
-                yield pd.DataFrame({"rank": cores.view(np.int64), "key": key, "first": f, "last": z, "base": s, "whole": 0})
+                out.append(np.stack((cores.view(np.int64), np.full(len(f), key), f, z, s, np.zeros(len(f), np.int64))))
                 inside = (s >= 0) & (s + size - 1 + length <= len(data))
                 if size > 1 and inside.any():
                     f, z, s = f[inside], z[inside], s[inside]
                     wholes = _ranks(data, s, s + size - 1 + length)
-                    yield pd.DataFrame({"rank": wholes.view(np.int64), "key": key, "first": f, "last": z, "base": s, "whole": 1})
+                    out.append(np.stack((wholes.view(np.int64), np.full(len(f), key), f, z, s, np.ones(len(f), np.int64))))
+            rank, key, *rest = np.concatenate(out, axis=1)
+            yield pd.DataFrame({"rank": rank, "key": key, **{n: x.astype(np.int32) for n, x in zip(("first", "last", "base", "whole"), rest)}})
 
     return run
 
 
+def _split(first: np.ndarray, last: np.ndarray, base: np.ndarray, before: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of ``before`` positions from ``base`` on as blocks of ``size``, those with open positions."""
+    if before == size:
+        return first, last, base
+    s = (base[:, None] + np.arange(0, before, size)).ravel()
+    f = np.maximum(s, np.repeat(first, before // size))
+    z = np.minimum(s + size - 1, np.repeat(last, before // size))
+    here = f <= z
+    return f[here], z[here], s[here]
+
+
 def _open(length: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -193,17 +209,18 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     # 60 bits of the digest name a text in the rounds.
     rows = rows.withColumn("key", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     place = "rank long, key long, at int"
+    blocks = [b for b in BLOCKS if b <= max(1, length // 4)]
     lists = "first array<int>, last array<int>, base array<int>"
     unzip = lambda names: [F.col(f"b.{n}").alias(n) for n in names]
     long = rows.where(F.col("n_bytes") >= length).select("key", "text")
     ranked = materialize(long.mapInPandas(_emit_anchors(length), place), "anchors")
     again = ranked.join(_repeated(ranked), F.col("rank") == F.col("r")).groupBy("key").agg(F.collect_set("at").alias("at"))
     one = long.groupBy("key").agg(F.first("text").alias("text"))
-    state = one.join(again, "key").mapInPandas(_open(length, BLOCKS[0]), f"key long, text string, {lists}")
-    state = materialize(state, "open")
+    state = one.join(again, "key").mapInPandas(_open(length, blocks[0]), f"key long, text string, {lists}")
+    state = materialize(state.withColumn("size", F.lit(blocks[0])), "open")
     texts = state.select("key", "text")
     settled = []
-    for size in BLOCKS:
+    for size in blocks:
         ranked = materialize(state.mapInPandas(_emit_blocks(length, size), "rank long, key long, first int, last int, base int, whole int"), "ranks")
         both = ranked.join(_repeated(ranked), (F.col("rank") == F.col("r")) & (F.col("whole") == F.col("w")))
         if size > 1:
@@ -215,7 +232,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
             settled.append(found.where("whole = 1").select("key", "first", "last"))
             block = F.array_sort(F.collect_list(F.struct("first", "last", "base")))
             narrowed = found.join(wanted, "core", "left_semi").groupBy("key").agg(block.alias("b"))
-            state = texts.join(narrowed, "key").select("key", "text", *unzip(("first", "last", "base")))
+            state = texts.join(narrowed, "key").select("key", "text", *unzip(("first", "last", "base")), F.lit(size).alias("size"))
         else:
             settled.append(both.select("key", "first", "last").distinct())
     spans = settled[0]
