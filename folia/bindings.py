@@ -435,3 +435,28 @@ def _(spark, d):
 def _(spark, d):
     lab = _table(spark, d, "labels").select((F.col("doc_id") + 1).alias("page_number"), "quality")
     return quality(spark, d, force_ocr=True).join(lab, "page_number", "left").groupBy("status", "quality").agg(F.count("*").alias("n"))
+
+
+def _pass_rows() -> str:
+    rows = []
+    for layout, (modes, names) in config.LAYOUT_PASSES.items():
+        rows += [f"('{layout}', {k}, '{s}', {psm})" for k, (s, psm) in enumerate((s, psm) for s in names for psm in modes)]
+    return ", ".join(rows)
+
+
+@_query("recognition_passes", f"""SELECT doc_id, page_number, pass_id, strategy, psm FROM (SELECT doc_id, page_number, CASE (page_number - 1) % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'table' ELSE 'noisy' END AS layout FROM ({_PAGES})) p
+JOIN (VALUES {_pass_rows()}) t(layout, pass_id, strategy, psm) USING (layout)""")
+def _(spark, d):
+    n = F.col("page_number") - 1
+    p = pages(spark, d).select("doc_id", "page_number", F.when(n % 3 == 0, "text").when(n % 3 == 1, "table").otherwise("noisy").alias("layout"))
+    return confidence.recognition_passes(p).select("doc_id", "page_number", "pass_id", "strategy", "psm")
+
+
+@_query("training_pairs", """SELECT 'paired' AS side, count(*)::bigint AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT 'missing', count(*)::bigint FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id""")
+def _(spark, d):
+    path = lambda t, kind: F.concat(F.lit("train/"), F.col("doc_id").cast("string"), F.lit(kind)).alias("path")
+    i = _table(spark, d, "documents").select(path("d", ".png"))
+    t = _table(spark, d, "labels").select(path("l", ".txt"), F.lit("x").alias("text"))
+    good, bad = confidence.training_pairs(i, t)
+    count = lambda df, side: df.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
+    return count(good, "paired").unionByName(count(bad, "missing"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import HIGH_CONFIDENCE, SCORE_MIN_CONFIDENCE
+from ..config import HIGH_CONFIDENCE, LAYOUT_PASSES, OCR_STRATEGIES, RETRY_DPI, RETRY_OSD, RETRY_THRESHOLD, SCORE_MIN_CONFIDENCE
 from ..functions.text import similarity_ratio, strip
 
 PAGE = ["doc_id", "page_number"]
@@ -88,3 +88,28 @@ def polygon_box(polygon: Column) -> Column:
     xs, ys = F.transform(polygon, lambda p: p["x"]), F.transform(polygon, lambda p: p["y"])
     x, y = F.array_min(xs), F.array_min(ys)
     return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), (F.array_max(xs) - x).cast("int").alias("w"), (F.array_max(ys) - y).cast("int").alias("h"))
+
+
+def recognition_passes(pages: DataFrame) -> DataFrame:
+    """Every pass over a page: the page modes and strategies of its layout, strategies outermost."""
+    rows = [(layout, s, psm) for layout, (modes, names) in LAYOUT_PASSES.items() for s in names for psm in modes]
+    order: dict[str, int] = {}
+    numbered = []
+    for layout, s, psm in rows:
+        numbered.append((layout, order.setdefault(layout, 0), s, psm, *OCR_STRATEGIES[s][:2]))
+        order[layout] += 1
+    table = pages.sparkSession.createDataFrame(numbered, "layout string, pass_id int, strategy string, psm int, threshold int, median_size int")
+    return pages.join(F.broadcast(table), "layout")  # a fixed table
+
+
+def retry_parameters(attempt: int) -> dict:
+    """Resolution, threshold and rotation of a retry."""
+    k = attempt % 2
+    return {"name": f"retry-{attempt + 1}", "dpi": RETRY_DPI[k], "threshold": RETRY_THRESHOLD[k], "use_osd": RETRY_OSD[k], "median_size": 5, "unsharp": (2, 200, 3), "autocontrast_cutoff": 2}
+
+
+def training_pairs(images: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images with the text of the same stem, and the images that have none."""
+    stem = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), r"\.[^.]+$", "")
+    i, t = images.withColumn("stem", stem("path")), texts.select(stem("path").alias("stem"), "text")
+    return i.join(t, "stem"), i.join(t, "stem", "left_anti")
