@@ -9,11 +9,12 @@ shingles are not. The boundary is the size of least estimated cost over the hist
 sizes. Sizes fall into bands of growth ``BAND``; the larger of two sets in neighbouring bands
 also joins the lower band.
 
-Lists are only ever looked at in linear ways. Equal sets are one node. Lists with two or more
-nodes first compare each node with one pivot; nodes that this connects need no more looks at
-each other. Lists that still hold several components compare across components only, by parity
-bitmaps (a lower bound of the difference) in square blocks, and what passes is counted exactly
-on the whole sets. Links become components by hooks and jumps.
+Equal sets are one node. In a few rounds each node is compared with one pivot of its lists;
+nodes that this connects need no more looks at each other. Lists that still hold several
+components compare across components only: short lists by a join, long ones by parity bitmaps
+(a lower bound of the difference) in square blocks, of which each node's closest partners come
+first and the others only where these did not connect the components. What passes is counted
+exactly on the whole sets. Links become components by hooks and jumps.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and
 is its own component; rows with equal sets (repeated rows too) share a component; a null
@@ -44,6 +45,12 @@ MOST_LIGHT = 40
 HEAVY_WEIGHT = 3.0
 #: Nodes of a list that one task compares with as many others.
 BLOCK = 512
+#: Lists up to this length are paired by a join.
+SHORT = 16
+#: Rounds in which each node looks at one pivot, before components are compared; and how many partners
+#: a node of a long list is first compared with in another component (more if that leaves some out).
+STARS = 4
+MOST = 2
 _U = np.uint64
 
 
@@ -154,35 +161,22 @@ def signatures(s: np.ndarray, scheme: Scheme) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, _U)
 
 
-def _sets(k: int):
+def _sets(k: int, scheme: Scheme):
+    """Size, name, bitmap and lists of each document's set; of copies within a partition one has the lists."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        none = np.empty(0, np.int64)
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                s = shingle_set(text, k)
-                rows.append((doc_id, len(s), node_of(s), parity(s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "node", "bits"])
-
-    return run
-
-
-def _lists(k: int, scheme: Scheme):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()  # copies within the partition
-        for b in batches:
-            keys, nodes = [], []
-            for text in b["text"]:
                 s = shingle_set(text, k)
                 node = node_of(s)
-                if node in seen or not len(s):
-                    continue
                 if len(seen) > 1_000_000:
                     seen.clear()
+                rows.append((doc_id, len(s), node, parity(s), none if node in seen else signatures(s, scheme).view(np.int64)))
                 seen.add(node)
-                keys.append(signatures(s, scheme))
-                nodes.append(np.full(len(keys[-1]), node))
-            if keys:
-                yield pd.DataFrame({"sig": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes)})
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "node", "bits", "sigs"])
 
     return run
 
@@ -214,38 +208,50 @@ def _plausible_pairs(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Plausible pairs between the components of one square block of a list."""
+def _across(percent: int, most: int):
+    """Plausible pairs between the components of one square block of a list. Of each pair of
+    components every node of the smaller one gives its ``most`` closest partners; if there were
+    more, a row (-1, -1) says so."""
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["side"] == 0], part[part["side"] == 1]
-        out = []
+        out = [np.empty((5, 0), np.int64)]
         if len(left) and len(right):
             size = int(part["bits"].str.len().min())
             x = np.stack([_fold(v, size) for v in left["bits"]])
             y = np.stack([_fold(v, size) for v in right["bits"]])
             ln, rn = left["n"].to_numpy(), right["n"].to_numpy()
             ll, rl = left["label"].to_numpy(), right["label"].to_numpy()
-            lo, ro = left["node"].to_numpy(), right["node"].to_numpy()
             for i in range(len(x)):
                 j = np.flatnonzero((rl != ll[i]) & (np.minimum(rn, ln[i]) * 100 >= np.maximum(rn, ln[i]) * percent))
                 if len(j):
-                    d = np.bitwise_count(y[j] ^ x[i]).sum(axis=1)
-                    j = j[d <= _most_apart(rn[j], ln[i], percent)]
-                    out.append(np.stack((np.minimum(ro[j], lo[i]), np.maximum(ro[j], lo[i])), axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                    d = np.bitwise_count(y[j] ^ x[i]).sum(axis=1).astype(np.int64)
+                    j, d = j[d <= _most_apart(rn[j], ln[i], percent)], d[d <= _most_apart(rn[j], ln[i], percent)]
+                    out.append(np.stack((np.full(len(j), i), j, d, np.full(len(j), ll[i]), rl[j])))
+        i, j, d, la, lb = np.concatenate(out, axis=1)
+        if not len(i):
+            return pd.DataFrame({"a": i, "b": j})
+        lo, ro = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
+        sizes_a, sizes_b = dict(zip(*np.unique(ll, return_counts=True))), dict(zip(*np.unique(rl, return_counts=True)))
+        own = np.array([sizes_a[p] <= sizes_b[q] for p, q in zip(la.tolist(), lb.tolist())])
+        key, other = np.where(own, lo, ro), np.where(own, lb, la)
+        order = np.lexsort((d, other, key))
+        key, other, lo, ro = key[order], other[order], lo[order], ro[order]
+        first = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(other) != 0)))
+        rank = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+        keep = rank < most
+        more = [] if keep.all() else [-1]
+        return pd.DataFrame({"a": np.append(np.minimum(lo, ro)[keep], more).astype(np.int64), "b": np.append(np.maximum(lo, ro)[keep], more).astype(np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for b in batches:
             held = b if held is None else pd.concat([held, b], ignore_index=True)
-            keys = held[["sig", "bi", "bj"]]
-            new = (keys != keys.shift()).any(axis=1).to_numpy()
-            starts = np.flatnonzero(new)
+            keys = held[["sig", "bi", "bj"]].to_numpy()
+            starts = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)
             for s, e in zip(starts[:-1], starts[1:]):
                 yield one(held.iloc[s:e])
-            held = held.iloc[starts[-1] :] if len(starts) else held
+            held = held.iloc[starts[-1] :]
         if held is not None and len(held):
             yield one(held)
 
@@ -270,40 +276,67 @@ def _count(percent: int):
 class _Join:
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.docs, self.words, self.percent = docs.select("doc_id", "text"), words, percent
-        kind = f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long, bits binary"
-        self.rows = materialize(self.docs.mapInPandas(_sets(words), kind), "sets")
+        # Sizes of the small sets, by their words: all that the boundary depends on, and bounded.
+        size = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")) - (words - 1)
+        most = math.ceil(MOST_LIGHT * 100 / percent)
+        small = self.docs.where(F.length("text") < 60 * most).select(F.greatest(size, F.lit(1)).alias("n")).where(F.col("n") <= most).groupBy("n").count().collect()
+        scheme = Scheme(percent, boundary({int(n): int(c) for n, c in small}, percent))
+        kind = f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long, bits binary, sigs array<long>"
+        self.rows = materialize(self.docs.mapInPandas(_sets(words, scheme), kind), "sets")
         self.nodes = self.rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
 
     def links(self) -> DataFrame:
         """Links between nodes, enough to connect every component."""
-        small = self.nodes.where(F.col("n") <= math.ceil(MOST_LIGHT * 100 / self.percent)).groupBy("n").count().collect()  # bounded by MOST_LIGHT
-        scheme = Scheme(self.percent, boundary({int(n): int(c) for n, c in small}, self.percent))
-        entries = self.docs.select("text").mapInPandas(_lists(self.words, scheme), "sig long, node long")
+        entries = self.rows.select(F.explode("sigs").alias("sig"), "node")
         short = F.col("node").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
         shared = entries.groupBy("sig").agg(F.min(short).alias("x"), F.max(short).alias("y")).where("x <> y").select("sig")
         lists = materialize(entries.join(shared, "sig"), "lists").distinct()
-        # One pivot a node: the least node of most of its lists.
-        pivots = lists.groupBy("sig").agg(F.min("node").alias("pivot"))
-        best = (lists.join(pivots, "sig").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"))
-                .groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("node").alias("b")))
-        first = self._linked(materialize(self._plausible(best), "pairs"))
-        labels = components(first)
+        # Stars: each node looks at one pivot of another component, the one of most of its lists.
+        # Pivots are drawn by a hash that is the same in all lists and new in each round.
+        links, labels = None, None
+        for turn in range(STARS):
+            named = lists.withColumn("label", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "label", "node")
+            ends = named.groupBy("sig").agg(F.min(drawn).alias("p"), F.min("label").alias("x"), F.max("label").alias("y"), F.max_by("node", "label").alias("far"), F.min_by("node", "label").alias("close")).where("x <> y")
+            pivot = F.when(F.col("label") != F.col("p.label"), F.col("p.node")).when(F.col("label") != F.col("y"), F.col("far")).otherwise(F.col("close"))
+            best = (named.join(ends, "sig").select("node", pivot.alias("pivot")).groupBy("node", "pivot").agg(F.count("*").alias("c"))
+                    .groupBy("node").agg(F.max(F.struct("c", F.xxhash64("pivot", F.lit(turn)).alias("h"), "pivot")).alias("m")).select(F.least("m.pivot", "node").alias("a"), F.greatest("m.pivot", "node").alias("b")).distinct())
+            new = self._linked(materialize(self._plausible(best), "pairs"))
+            links = new if links is None else links.unionByName(new)
+            if turn and new.isEmpty():
+                break
+            labels = components(links)
+        most = MOST
+        while True:
+            new, more = self._between(lists, labels, most)
+            links = links.unionByName(new)
+            if not more:
+                return links
+            labels, most = components(links), most * 16
+
+    def _between(self, lists: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, bool]:
+        """Links between components of a list, and whether there may be more of them."""
         named = lists.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         mixed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("sig", "m")
-        open_ = named.join(mixed, "sig")
-        # Lists in square blocks: entry i goes to all blocks of its row and column.
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        open_ = open_.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+        open_ = named.join(mixed, "sig").join(self.rows.select("node", "n").where("n > 0").distinct(), "node")
+        # Short lists pair their entries; the number of these pairs follows the number of lists.
+        few = open_.where(F.col("m") <= SHORT)
+        other = few.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+        near = (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * self.percent) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("lb"))
+        short_pairs = few.join(other, "sig").where(near).select(F.col("node").alias("a"), "b").distinct()
+        # Long lists go in square blocks: an entry is in all blocks of its row and column.
+        long = open_.where(F.col("m") > SHORT).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+        long = long.withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
         others = F.sequence(F.lit(0), F.col("nb") - 1)
         place = F.explode(F.concat(
             F.transform(F.filter(others, lambda o: o >= F.col("own")), lambda o: F.struct(F.col("own").alias("bi"), o.alias("bj"), F.lit(0).alias("side"))),
             F.transform(F.filter(others, lambda o: o <= F.col("own")), lambda o: F.struct(o.alias("bi"), F.col("own").alias("bj"), F.lit(1).alias("side")))))
-        dealt = open_.select("sig", "node", "label", place.alias("p")).select("sig", "node", "label", "p.bi", "p.bj", "p.side")
-        dealt = dealt.join(self.nodes.select("node", "n", "bits"), "node")
-        pairs = (dealt.repartition(F.col("sig"), F.col("bi"), F.col("bj")).sortWithinPartitions("sig", "bi", "bj")
-                 .mapInPandas(_across(self.percent), "a long, b long").distinct())
-        second = self._linked(materialize(pairs.join(best, ["a", "b"], "left_anti"), "pairs"))
-        return first.unionByName(second)
+        dealt = long.select("sig", "node", "label", "n", place.alias("p")).select("sig", "node", "label", "n", "p.bi", "p.bj", "p.side")
+        dealt = dealt.join(self.nodes.select("node", "bits"), "node")
+        long_pairs = (dealt.repartition(F.col("sig"), F.col("bi"), F.col("bj")).sortWithinPartitions("sig", "bi", "bj")
+                      .mapInPandas(_across(self.percent, most), "a long, b long"))
+        pairs = materialize(self._plausible(short_pairs).unionByName(long_pairs).distinct(), "pairs")
+        return self._linked(pairs.where("a >= 0")), not pairs.where("a < 0").isEmpty()
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
