@@ -22,10 +22,10 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         across = by_a.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
         # The least label next to any node of a label's tree; the tree hooks onto it.
         hook = across.where("lb < la").groupBy(F.col("la").alias("root")).agg(F.min("lb").alias("to"))
-        hook = materialize(hook, tag)
-        if hook.isEmpty():
-            return labels
-        hooked = labels.join(hook, labels["label"] == hook["root"], "left").select("node", F.coalesce("to", "label").alias("label"))
+        hooked = labels.join(hook, labels["label"] == hook["root"], "left").select("node", F.col("label").alias("old"), F.coalesce("to", "label").alias("label"))
         # Jump: a node takes the label that its label's node has now.
         now = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = materialize(hooked.join(now, "label", "left").select("node", F.coalesce("next", "label").alias("label")), tag)
+        step = materialize(hooked.join(now, "label", "left").select("node", "old", F.coalesce("next", "label").alias("label")), tag)
+        labels = step.select("node", "label")
+        if step.where("old <> label").isEmpty():
+            return labels

@@ -49,7 +49,7 @@ BLOCK = 512
 SHORT = 16
 #: Rounds in which each node looks at one pivot, before components are compared; and how many partners
 #: a node of a long list is first compared with in another component (more if that leaves some out).
-STARS = 4
+STARS = 2
 MOST = 2
 _U = np.uint64
 
@@ -288,8 +288,7 @@ class _Join:
     def links(self) -> DataFrame:
         """Links between nodes, enough to connect every component."""
         entries = self.rows.select(F.explode("sigs").alias("sig"), "node")
-        short = F.col("node").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-        shared = entries.groupBy("sig").agg(F.min(short).alias("x"), F.max(short).alias("y")).where("x <> y").select("sig")
+        shared = entries.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig")
         lists = materialize(entries.join(shared, "sig"), "lists").distinct()
         # Stars: each node looks at one pivot of another component, the one of most of its lists.
         # Pivots are drawn by a hash that is the same in all lists and new in each round.
