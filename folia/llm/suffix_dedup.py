@@ -88,16 +88,23 @@ def open_blocks(data: bytes, repeated: np.ndarray, length: int, size: int) -> tu
 
 
 def _ranks(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Fingerprints of data[start:end] (each at most SLICE long; starts ascending)."""
-    out = np.empty(len(start), np.uint64)
+    """Fingerprints of data[start:end] (each at most SLICE long), in the order given.
+
+    Blocks ascend by ``first``, but their starts need not: a block whose anchor comes into the
+    window late begins before the one that it cuts short. So the slices go by sorted starts."""
+    order = np.argsort(start, kind="stable")
+    s, e = start[order], end[order]
+    ranks = np.empty(len(s), np.uint64)
     i = 0
-    while i < len(start):
-        a = int(start[i])
-        j = int(np.searchsorted(start, a + SLICE))
-        z = int(end[i:j].max())
+    while i < len(s):
+        a = int(s[i])
+        j = int(np.searchsorted(s, a + SLICE))
+        z = int(e[i:j].max())
         f = Fingerprints(np.frombuffer(data, np.uint8, z - a, a))
-        out[i:j] = f.of(start[i:j] - a, end[i:j] - a)
+        ranks[i:j] = f.of(s[i:j] - a, e[i:j] - a)
         i = j
+    out = np.empty_like(ranks)
+    out[order] = ranks
     return out
 
 

@@ -1,6 +1,6 @@
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -45,6 +45,65 @@ def test_suffix_dedup_returns_the_kept_bytes(make, edge_texts):
         assert len(x.kept) == x.n_bytes - x.n_removed
 
 
+def removed_locally(passages, length):
+    """Bytes removed from each of many pairs of texts, by the rounds of the operator without Spark, each pair a corpus of its own."""
+    out = []
+    for pair in passages:
+        ranked = Counter()
+        for data in pair:
+            ranked.update(suffix_dedup.anchors(data, length)[1].tolist())
+        state = []
+        for data in pair:
+            at, rank = suffix_dedup.anchors(data, length)
+            again = np.array([x for x, k in zip(at, rank.tolist()) if ranked[k] > 1], np.int64)
+            state.append(suffix_dedup.open_blocks(data, again, length, suffix_dedup.BLOCKS[0]))
+        gone, before = [np.zeros(len(x), bool) for x in pair], suffix_dedup.BLOCKS[0]
+        for size in suffix_dedup.BLOCKS:
+            cores, wholes, rows = defaultdict(set), defaultdict(set), []  # the places of each rank
+            for k, data in enumerate(pair):
+                f, z, s = suffix_dedup._split(*state[k], before, size)
+                core = suffix_dedup._ranks(data, s + size - 1, s + length).tolist()
+                inside = (s >= 0) & (s + size - 1 + length <= len(data))
+                whole = dict(zip(np.flatnonzero(inside).tolist(), suffix_dedup._ranks(data, s[inside], s[inside] + size - 1 + length).tolist())) if inside.any() else {}
+                for c, at in zip(core, s.tolist()):
+                    cores[c].add((k, at))
+                for i, w in whole.items():
+                    wholes[w].add((k, int(s[i])))
+                rows.append((f, z, s, core, whole))
+            settled = [np.array([len(wholes[whole[i]]) > 1 if i in whole else False for i in range(len(f))], bool) for f, _, _, _, whole in rows]
+            wanted = {c for (_, _, _, core, _), done in zip(rows, settled) for c, d in zip(core, done) if len(cores[c]) > 1 and not d}
+            for k, ((f, z, s, core, _), done) in enumerate(zip(rows, settled)):
+                if size == 1:
+                    done = np.array([len(cores[c]) > 1 for c in core], bool)
+                gone[k] |= suffix_dedup.removed_mask(len(pair[k]), f[done], z[done], length)
+                more = np.array([c in wanted for c in core], bool)
+                state[k] = f[more], z[more], s[more]
+            before = size
+        out.append([int(g.sum()) for g in gone])
+    return out
+
+
+def test_passages_at_random_places_are_found():
+    """Starts of blocks need not ascend: several thousand passages at the query's own length."""
+    r = np.random.default_rng(5)
+    letters = lambda n: r.integers(97, 123, n, np.uint8).tobytes()
+    pairs, want = [], []
+    for _ in range(1500):
+        passage = letters(int(r.integers(450, 1600)))
+        # Digits around it, other ones in each text, so that just the passage repeats.
+        pairs.append([b"0" + letters(int(r.integers(0, 400))) + b"1" + passage + b"2" + letters(60), b"3" + letters(int(r.integers(0, 400))) + b"4" + passage + b"5"])
+        want.append([len(passage)] * 2)
+    assert removed_locally(pairs, suffix_dedup.LENGTH) == want
+
+
+def test_ranks_follow_their_own_ranges():
+    r = np.random.default_rng(6)
+    data = r.integers(97, 123, 3000, np.uint8).tobytes()
+    start = np.array([700, 660, 1200, 0, 1190], np.int64)
+    one = [suffix_dedup._ranks(data, start[i : i + 1], start[i : i + 1] + 400)[0] for i in range(len(start))]
+    assert suffix_dedup._ranks(data, start, start + 400).tolist() == one
+
+
 def brute_components(texts, k, percent):
     sets = []
     for i, t in texts:
