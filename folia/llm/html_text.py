@@ -7,8 +7,8 @@ those of links; the composite density is
 
 with zero denominators taken as 1: high for text, low for lists of links. A node's density sum
 is that of its children. The subtree of the greatest sum is the core of the article; the least
-density on its path from the body is the threshold above which the core's surroundings belong
-to it. Elements that are no article by their nature (menus, forms, scripts, adverts, comments)
+density on its path from the body is the threshold: each node above it whose ancestors are above
+it too adds its own subtree of the greatest sum, and a headline before the core joins it. Elements that are no article by their nature (menus, forms, scripts, adverts, comments)
 don't take part.
 
 Defined results: a null or empty page, or one without text outside such elements, has an empty
@@ -34,6 +34,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIPPED = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea dialog menu object canvas audio video head title".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = re.compile(
@@ -182,8 +183,19 @@ def _measure(root: Node, pieces: list[tuple[int, str, Node]]) -> list[Node]:
     return nodes
 
 
-def main_node(root: Node, pieces: list[tuple[int, str, Node]]) -> Node:
-    """The subtree of the greatest density sum, grown to its surroundings above the threshold."""
+def _strongest(nodes: list[Node]) -> dict[Node, Node]:
+    """The node of the greatest density sum in each subtree; one whose text is mostly its own stands for itself."""
+    found: dict[Node, tuple[float, Node]] = {}
+    for x in reversed(nodes):
+        inner = sum(c.chars for c in x.children)
+        own = x.tag == "p" or x.tag in INLINE or x.tag in HEADINGS or 2 * inner <= x.chars
+        top = (sum(c.density for c in x.children), x)
+        found[x] = (max(x.density, top[0]), x) if own else max([top, *(found[c] for c in x.children)], key=lambda y: y[0])
+    return {x: y for x, (_, y) in found.items()}
+
+
+def main_nodes(root: Node, pieces: list[tuple[int, str, Node]]) -> list[Node]:
+    """The subtree of the greatest density sum and those of its surroundings above the threshold."""
     nodes = _measure(root, pieces)
     body = next((x for x in nodes if x.tag == "body"), root)
     best, most = body, -1.0
@@ -195,27 +207,39 @@ def main_node(root: Node, pieces: list[tuple[int, str, Node]]) -> Node:
     while x is not None and x is not body:
         path.append(x)
         x = x.parent
-    threshold = min([body.density, *(x.density for x in path)])
     for x in reversed(path):
         if x.tag in ("article", "main"):
-            return x
-    while best is not body and best.parent is not None:
-        up = best.parent
-        rest = sum(c.chars for c in up.children if c is not best) / max(1, sum(c.tags + 1 for c in up.children if c is not best))
-        if best.tag in INLINE or best.tag == "p" or (rest > 0 and rest >= threshold and up.link_chars * 3 <= up.chars):
-            best = up
-        else:
-            break
-    return best
+            return [x]
+    while best is not body and best.parent is not None and (best.tag in INLINE or best.tag == "p"):
+        best = best.parent
+    plain = lambda x: x.chars / max(1, x.tags)
+    # Composite densities grow with a section's size, so one without many links may also pass by characters a tag.
+    threshold, least = min(x.density for x in (body, *path)), min(plain(x) for x in (body, *path))
+    passes = lambda x: x.chars > 0 and (x.density >= threshold or plain(x) >= least and x.link_chars * 3 <= x.chars)
+    strongest, on_path = _strongest(nodes), {body, *path}
+    out, todo = [best], [body]
+    while todo:
+        x = todo.pop()
+        if x is best:
+            continue
+        for c in x.children:
+            # A headline before the core belongs to it however short it is.
+            if c in on_path or passes(c):
+                todo.append(c)
+                if c not in on_path:
+                    out.append(strongest[c])
+            elif c.tag == "h1" and x in on_path and c.first < best.first:
+                out.append(c)
+    return out
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root, pieces = parse(page)
-    node = main_node(root, pieces)
     blocks: dict[int, list[str]] = {}
-    for number, text, _ in pieces[node.first : node.last]:
+    for i in sorted({i for node in main_nodes(root, pieces) for i in range(node.first, node.last)}):
+        number, text, _ = pieces[i]
         blocks.setdefault(number, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)

@@ -124,6 +124,23 @@ def test_main_text():
     assert html_text.main_text("plain words") == "plain words"
 
 
+def paragraphs(word, n):
+    return "".join(f"<p>{f'{word}{i} ' * 50}</p>" for i in range(n))
+
+
+def test_main_text_of_split_sections():
+    """Sections in sibling divs and a headline beside them are all of the article; a list of links is not."""
+    links = "<div class='list'>" + "".join(f"<a href='/{i}'>entry {i}</a> " for i in range(30)) + "</div>"
+    for first in (1, 2, 5):
+        for head in ("Head", "Head of all " * 15):
+            for around in ("{}", "<div>{}</div>", "<div><div>{}</div></div>"):
+                page = "<body>" + around.format(f"<h1>{head}</h1><div>{paragraphs('aa', first)}</div><div>{paragraphs('bb', 6)}</div>") + links + "</body>"
+                text = html_text.main_text(page)
+                assert text.startswith("Head") and "entry" not in text and text.count("\n") == first + 6
+    once = html_text.main_text(f"<body><div><div>{paragraphs('aa', 3)}</div><div>{paragraphs('bb', 3)}</div></div></body>")
+    assert once.count("aa1") == 50
+
+
 def test_pages_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     got = html_text.extract(pages).collect()
