@@ -33,13 +33,15 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 #: Elements by kind (fixed values).
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SKIPPED = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea dialog menu object canvas audio video head title".split())
+SKIPPED = frozenset("nav footer aside form script style noscript template iframe svg button select textarea dialog menu canvas audio video head title".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+#: Names of a whole class token or id, alone or with a part of a page before or a part of the element after.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|header|masthead|menus?|modal|nav|navbar|navigation"
-    r"|newsletter|notices?|overlay|popup|promos?|promotion|related|replies|reply|respond|share|sharing|sidebar\w*|skip|social|sponsor\w*|subscribe|subscription|toolbar|widgets?)(?:$|[\s_-])")
+    r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|post|entry|cookie)[_-])?(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|header"
+    r"|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|overlay|popup|promos?|promotion|related|replies|reply|respond|share|sharing|sidebar\d*|skip|social|sponsor\w*|subscribe|subscription|toolbar"
+    r"|widgets?)(?:[_-](?:area|bar|block|box|buttons?|container|content|form|inner|items?|links?|list|menu|nav|notice|posts?|section|slot|unit|widget|wrap|wrapper|\d+))*")
 #: Start tags that close an open element of the second kind within the third.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -47,13 +49,14 @@ _KEPT = frozenset(("html", "body", "article", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "first", "last", "density")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "first", "last", "density", "named")
 
     def __init__(self, tag: str, parent: "Node | None", first: int):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.first = self.last = first
         self.density = 0.0
+        self.named = False
 
 
 def _skipped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -63,13 +66,45 @@ def _skipped(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and _NAMES.search(value) or name == "role" and value in SKIPPED_ROLES:
+        if name == "role" and value in SKIPPED_ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(r"""=\s*("[^"]*"|'[^']*')""", "", attributes)))
 
 
+def _named(tag: str, attributes: str) -> bool:
+    """Whether a class or id says that a node is no article."""
+    if not attributes or tag in _KEPT:
+        return False
+    return any(_NAMES.fullmatch(token) for name, value in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for token in value.strip("\"'").lower().split())
+
+
+def _without_named(root: Node, pieces: list[tuple[int, str, Node]]) -> None:
+    """Take out the named nodes, except those with a headline, the main part, the only articles or most of the text."""
+    sums = [0]
+    for _, text, _ in pieces:
+        sums.append(sums[-1] + len("".join(text.split())))
+    nodes = _nodes(root)
+    holds: dict[Node, tuple[int, int]] = {}
+    for x in reversed(nodes):
+        inner = [holds[c] for c in x.children]
+        holds[x] = (sum(i[0] for i in inner) + (x.tag in ("main", "h1")), sum(i[1] for i in inner) + (x.tag == "article"))
+    articles, gone = holds[root][1], set()
+    for x in nodes:
+        if x.parent in gone:
+            gone.add(x)
+        elif x.named:
+            main, own = holds[x]
+            if not main and not (own and own == articles) and 2 * (sums[x.last] - sums[x.first]) <= sums[-1]:
+                gone.add(x)
+                for i in range(x.first, x.last):
+                    pieces[i] = (pieces[i][0], "", pieces[i][2])
+    if gone:
+        for x in nodes:
+            x.children = [c for c in x.children if c not in gone]
+
+
 def parse(page: str) -> tuple[Node, list[tuple[int, str, Node]]]:
     """The tree and the pieces of text (block number, text, node) outside skipped elements."""
     root = Node("html", None, 0)
@@ -132,6 +167,7 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str, Node]]]:
                 stack[-1].children.append(child)
             continue
         node = Node(tag, stack[-1], len(pieces))
+        node.named = _named(tag, attributes)
         if not skip:
             stack[-1].children.append(node)
         if tag in RAW:
@@ -148,6 +184,7 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str, Node]]]:
         skips.append(skip)
     pop(1)
     root.last = len(pieces)
+    _without_named(root, pieces)
     return root, pieces
 
 

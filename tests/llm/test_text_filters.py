@@ -141,6 +141,17 @@ def test_main_text_of_split_sections():
     assert once.count("aa1") == 50
 
 
+def test_main_text_under_layout_names():
+    """Layout classes of a wrapper don't take its article out; elements named as menus, comments or sidebars go."""
+    for name in ("content with-sidebar", "no-sidebar", "post has-comments", "page header-fixed", "sidebar", "nav-left widget"):
+        for tag in ("{}", "<article>{}</article>"):
+            text = html_text.main_text(f"<body><div class='{name}'>{tag.format(paragraphs('aa', 4))}</div><div class='site-footer'><p>{'foot ' * 20}</p></div></body>")
+            assert text.count("aa3") == 50 and "foot" not in text, name
+    page = f"<body><div class='a'>{paragraphs('aa', 4)}</div>" + "".join(f"<div class='x {n}'><p>{'other ' * 40}</p></div>" for n in ("comments", "widget-area", "sidebar", "cookie-notice")) + "</body>"
+    assert "other" not in html_text.main_text(page)
+    assert "x+1" in html_text.main_text(f"<article><p>{'word ' * 30}<math><mi>x</mi>+<mn>1</mn></math></p></article>")
+
+
 def test_pages_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     got = html_text.extract(pages).collect()
