@@ -38,6 +38,12 @@ def _(spark, d):
     return images.figures(image_rows(spark, d), max_pages=5000).select("doc_id", "xref", "page_number", "idx")
 
 
+# The same over the whole table, as the reference does by default.
+@_query("figure_area_whole", _first("box_w * box_h >= 1000"))
+def _(spark, d):
+    return images.figures(image_rows(spark, d)).select("doc_id", "xref", "page_number", "idx")
+
+
 @_query("equation_filter", f"SELECT doc_id, count(*)::bigint AS n FROM ({_IMAGES}) WHERE height > 0 AND width::double / height BETWEEN 1.5 AND 20 AND idx % 2 = 0 GROUP BY doc_id")
 def _(spark, d):
     rows = image_rows(spark, d).withColumn("has_data", F.col("idx") % 2 == 0)

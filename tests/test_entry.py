@@ -32,3 +32,22 @@ def test_query_equals_its_sql(spark, name):
     value = lambda v: "null" if v is None or v != v else repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     plain = lambda df: sorted(tuple(map(value, row)) for row in df[columns].astype(object).itertuples(index=False))
     assert plain(got) == plain(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")
+def test_figures_of_the_whole_table(spark):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    want = sorted(c.execute(bindings.ORACLE_SQL["figure_area_whole"]).fetchall())
+    got = bindings.QUERIES["figure_area_whole"](spark, SF).collect()
+    assert sorted(tuple(map(int, r)) for r in got) == [tuple(map(int, r)) for r in want] and len(got) > 0
+
+
+def test_figures_up_to_a_page(spark):
+    kind = "doc_id long, xref long, page_number long, idx long, box_w double, box_h double"
+    rows = spark.createDataFrame([(1, 1, 5000, 1, 50.0, 50.0), (1, 2, 5001, 1, 50.0, 50.0), (1, 3, 1, 1, 5.0, 5.0)], kind)
+    from folia.operators import images
+
+    assert {r.xref for r in images.figures(rows).collect()} == {1, 2}
+    assert {r.xref for r in images.figures(rows, max_pages=5000).collect()} == {1}
