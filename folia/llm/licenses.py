@@ -54,10 +54,27 @@ along with this program. If not, see https://www.gnu.org/licenses/.""",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "MIT-statement": "Released under the MIT License.",
 }
-
-
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+#: Lines of a real notice: a sign, "copyright" unless it goes on as prose, "(c)" before a year or a name, "all rights reserved".
+NOTICE_LINE = (r"(?m)^[^\p{L}\p{N}\n]*(?:©|(?i:copyright)(?![\p{L}\p{N}])(?!\s+(?i:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|and|or|in|is|of|to)(?![\p{L}\p{N}]))"
+               r"|\([cC]\)\s*(?:\p{N}{4}|\p{Lu}\p{Ll}+ \p{Lu})|(?i:all rights reserved)[^\p{L}\p{N}\n]*$)[^\n]*$")
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY,
+OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Published forms beside ``KNOWN``, and the titles that files of a licence begin with.
+PUBLISHED = {"BSD-2-Clause": _BSD.format(""), "BSD-3-Clause": _BSD.format("""3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission. """)}
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+          "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"]}
+
+
+def canonical(text: Column, published: bool = False) -> Column:
+    out = F.lower(F.regexp_replace(text, NOTICE_LINE, "")) if published else F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for a, b in SPELLINGS:
@@ -74,20 +91,28 @@ def canonical_text(text: str) -> str:
     return out.strip()
 
 
-def registry() -> dict[str, str]:
+def registry(published: bool = False) -> dict[str, str]:
     """Digest -> licence."""
-    return {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in KNOWN.items()}
+    texts = [(name, t) for name, t in KNOWN.items()]
+    if published:
+        texts += PUBLISHED.items()
+        texts += [(name, f"{title}\n{dict(texts)[name]}") for name, titles in TITLES.items() for title in titles]
+    return {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in texts}
+
 
+def licenses(docs: DataFrame, published: bool = False) -> DataFrame:
+    """doc_id, digest, license_id (of the whole text), n_license_lines and their licences in order.
 
-def licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, license_id (of the whole text), n_license_lines and their licences in order."""
-    known = registry()
+    With ``published``, licences in the form of their files are known too: with titles, any wrapping, lines of any length."""
+    known = registry(published)
     rows = docs.sparkSession.createDataFrame(sorted(known.items()), "known string, license_id string")
     names = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.when(F.length(x) <= max(map(len, KNOWN.values())), F.try_element_at(names, F.sha2(canonical(x), 256)))),
-                     lambda x: x.isNotNull())
-    found = docs.select("doc_id", F.sha2(canonical(text), 256).alias("digest"), lines.alias("lines"))
+    name = lambda x: F.try_element_at(names, F.sha2(canonical(x, published), 256))
+    longest = max(map(len, KNOWN.values()))
+    line = name if published else lambda x: F.when(F.length(x) <= longest, name(x))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), line), lambda x: x.isNotNull())
+    found = docs.select("doc_id", F.sha2(canonical(text, published), 256).alias("digest"), lines.alias("lines"))
     return (found.join(F.broadcast(rows), F.col("digest") == F.col("known"), "left")
             .select("doc_id", "digest", "license_id", F.size("lines").cast("long").alias("n_license_lines"), F.array_join("lines", ",").alias("license_lines")))
 
@@ -96,6 +121,10 @@ def query(docs: DataFrame) -> DataFrame:
     return licenses(docs)
 
 
+def query_published(docs: DataFrame) -> DataFrame:
+    return licenses(docs, published=True)
+
+
 def _canonical_sql(x: str) -> str:
     out = f"trim(regexp_replace(regexp_replace(lower({x}), '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(?:copyright|©|\\(c\\))(?:[^\\n]*)$', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     out = f"(' ' || {out} || ' ')"

@@ -18,6 +18,7 @@ QUERIES = {
     "op5_suffix_dedup": _documents(suffix_dedup.query),
     "op6_ngram_jaccard_join": _documents(ngram_join.query),
     "op7_license_scan": _documents(licenses.query),
+    "op7_license_scan_published": _documents(licenses.query_published),
     "op8_pii_surrogates": _documents(pii.query),
     "op9_html_extraction": html_text.query,
     "op10_benchmark_decontamination": decontamination.query,

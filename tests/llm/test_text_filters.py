@@ -112,6 +112,18 @@ def test_licenses(make):
     assert licenses.licenses(make([])).count() == 0
 
 
+def test_licenses_as_published(make):
+    isc = "ISC License\n\nCopyright (c) 2020, Some One\n\n" + licenses.KNOWN["ISC"].replace("\n", " ").replace("above copyright", "above\ncopyright")
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + licenses.KNOWN["MIT"]
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n" + licenses.PUBLISHED["BSD-3-Clause"]
+    wide = licenses.KNOWN["MIT"].replace("\n", " ").replace(" ", "   ")
+    texts = [(0, isc), (1, mit), (2, bsd), (3, "intro\n" + wide), (4, None), (5, "(c) you may copy"), (6, "you may copy"), (7, "(c) Some One\nyou may copy")]
+    got = {r.doc_id: r for r in licenses.licenses(make(texts), published=True).collect()}
+    assert [got[i].license_id for i in range(5)] == ["ISC", "MIT", "BSD-3-Clause", None, None]
+    assert (got[3].n_license_lines, got[3].license_lines) == (1, "MIT")
+    assert got[5].digest != got[6].digest == got[7].digest
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="ad">Buy now, it is a very good offer for all of you today.</div>
 <div id="content"><h1>Head &amp; line</h1><p><b>First   paragraph with some words.<br><p>Second one with <a href="x">a link</a> inside of it, and more text.</p><form><input><button>Go</button></form></div>
 <aside>related things</aside><div class="comments"><p>I think this is a long comment by a reader of the page.</p></div><footer>&copy; site</footer></body></html>"""
