@@ -6,13 +6,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no ``spark.checkpoint.dir`` (single-machine tests).
-FALLBACK_DIR = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share for intermediate tables."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that driver and executors share for intermediate tables.
+
+    A cluster names it in ``spark.checkpoint.dir``. A session of one machine without it gets a
+    folder of its own in the warehouse; any other session without it is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    return found.rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -23,7 +28,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and whose every use has been written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

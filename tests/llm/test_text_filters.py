@@ -29,6 +29,72 @@ def test_chain_without_labels(spark, make, edge_texts):
     assert len(got) == len(edge_texts) and not any(x.rejected for x in got)
 
 
+def brute_chain(texts, labels):
+    """The chain by its definition, each fit on its own with words counted in Python; log-odds by text number."""
+    own = [set(toxicity.distinct_words(t).tolist()) for t in texts]
+    fold = [x[0] for x in labels]
+    earlier, out = np.zeros((len(texts), 0)), []
+    for k in range(len(labels[0][1])):
+        y = np.array([np.nan if x[1][k] is None else x[1][k] for x in labels], float)
+        column = np.zeros(len(texts))
+        for f in range(toxicity.FOLDS + 1):
+            use = [i for i in range(len(texts)) if not np.isnan(y[i]) and fold[i] != f]
+            n1 = sum(y[i] for i in use)
+            count, pos = {}, {}
+            for i in use:
+                for w in own[i]:
+                    count[w] = count.get(w, 0) + 1
+                    pos[w] = pos.get(w, 0) + y[i]
+            score = {}
+            for w, n in count.items():
+                cells = [pos[w] + 0.5, n1 - pos[w] + 0.5, n - pos[w] + 0.5, len(use) - n1 - n + pos[w] + 0.5]
+                score[w] = abs(np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])) / np.sqrt(sum(1 / c for c in cells))
+            words = sorted((w for w in count if count[w] >= toxicity.LEAST_DOCS and score[w] >= toxicity.LEAST_SCORE), key=lambda w: -score[w])[: toxicity.MOST_WORDS]
+            at = {w: j for j, w in enumerate(words)}
+            place = [(r, at[w]) for r, i in enumerate(use) for w in own[i] if w in at]
+            row, col = np.array([p[0] for p in place], int), np.array([p[1] for p in place], int)
+            weight, back, bias = toxicity.fit(row, col, len(words), y[use], earlier[use])
+            z = np.array([sum(weight[at[w]] for w in own[i] if w in at) for i in range(len(texts))]) + earlier @ back + bias
+            if f < toxicity.FOLDS:
+                column[[g == f for g in fold]] = np.clip(z, -20, 20)[[g == f for g in fold]]
+            else:
+                out.append((z, back))
+        earlier = np.column_stack((earlier, column))
+    return out
+
+
+def test_chain_equals_its_definition(spark, make):
+    r = random.Random(8)
+    texts = [(i, " ".join(words(i, 60) + (["vile", "rude"] * 2 if i % 4 == 0 else []) + (["junk"] * (r.randrange(3))))) for i in range(240)]
+    labels = [(i, int(i % 3 != 0 if r.random() < 0.9 else i % 3 == 0), int(i % 4 == 0 if r.random() < 0.9 else i % 4 != 0)) for i in range(240)]
+    docs = make(texts)
+    chain = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    folds = {x.i: x.f for x in spark.range(240).selectExpr("id AS i", f"CAST(pmod(xxhash64(id, 'fold'), {toxicity.FOLDS}) AS int) AS f").collect()}
+    first, second = brute_chain([t for _, t in texts], [(folds[i], (1 - q, x)) for i, q, x in labels])
+    for i, t in texts:
+        p = chain.models[0].score(toxicity.distinct_words(t), np.zeros(0))
+        assert abs(p - first[0][i]) < 1e-6
+    assert np.allclose(chain.models[1].chain, second[1], atol=1e-6) and len(chain.models[1].words) > 0
+
+
+def test_chain_on_odd_rows(spark, make, edge_texts):
+    """String ids, repeated ids with different texts and labels in any order, null ids, very long texts, an empty table."""
+    texts = [(f"d{i}", " ".join(words(i, 30) + (["vile"] * 2 if i % 3 == 0 else []))) for i in range(90)] + [("d3", "other text"), (None, "vile vile"), ("long", "vile word " * 40_000)]
+    labels = [(f"d{i}", 1, int(i % 3 == 0)) for i in range(90)] + [("d4", 0, None), ("d4", None, None), (None, 1, 1)]
+    kind = "doc_id string, text string, p_toxic double", "doc_id string, quality int, toxic int"
+    out = []
+    for turn in (1, -1):
+        docs = spark.createDataFrame([(i, t, 0.0) for i, t in texts[::turn]], kind[0])
+        got = toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(labels[::turn], kind[1]))).collect()
+        assert len(got) == len(texts)
+        out.append(sorted((x.doc_id or "", round(x.p_toxic, 9), round(x.p_low_quality, 9)) for x in got))
+    assert out[0] == out[1]
+    assert dict((i, p) for i, p, _ in out[0])["long"] > 0.5
+    none = make([])
+    empty = toxicity.train(none, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert toxicity.score(none, empty).count() == 0 and toxicity.drop_toxic(none, empty).count() == 0
+
+
 def brute_tiles(a, b, size):
     """Greedy string tiling by its definition."""
     marked_a, marked_b, total = set(), set(), 0
