@@ -64,6 +64,13 @@ class Fingerprints:
             inverse = pow(base, -1, 1 << 64)
             self.sums.append((p, _power(inverse, n + 1)))
 
+    def wide(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits: those of ``of`` and 32 more of the same two sums."""
+        (p, inverse), (q, other) = self.sums
+        x, y = (p[end] - p[start]) * inverse[start], (q[end] - q[start]) * other[start]
+        size = (end - start).astype(_U)
+        return mix(mix(size + y) + x), (mix(mix(size ^ x) + y) >> _U(32)).astype(np.uint32)
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (end - start).astype(_U)
         for p, inverse in reversed(self.sums):

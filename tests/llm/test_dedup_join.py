@@ -62,9 +62,9 @@ def removed_locally(passages, length):
             cores, wholes, rows = defaultdict(set), defaultdict(set), []  # the places of each rank
             for k, data in enumerate(pair):
                 f, z, s = suffix_dedup._split(*state[k], before, size)
-                core = suffix_dedup._ranks(data, s + size - 1, s + length).tolist()
+                core = suffix_dedup._ranks(data, s + size - 1, s + length)[0].tolist()
                 inside = (s >= 0) & (s + size - 1 + length <= len(data))
-                whole = dict(zip(np.flatnonzero(inside).tolist(), suffix_dedup._ranks(data, s[inside], s[inside] + size - 1 + length).tolist())) if inside.any() else {}
+                whole = dict(zip(np.flatnonzero(inside).tolist(), suffix_dedup._ranks(data, s[inside], s[inside] + size - 1 + length)[0].tolist())) if inside.any() else {}
                 for c, at in zip(core, s.tolist()):
                     cores[c].add((k, at))
                 for i, w in whole.items():
@@ -100,8 +100,8 @@ def test_ranks_follow_their_own_ranges():
     r = np.random.default_rng(6)
     data = r.integers(97, 123, 3000, np.uint8).tobytes()
     start = np.array([700, 660, 1200, 0, 1190], np.int64)
-    one = [suffix_dedup._ranks(data, start[i : i + 1], start[i : i + 1] + 400)[0] for i in range(len(start))]
-    assert suffix_dedup._ranks(data, start, start + 400).tolist() == one
+    one = [suffix_dedup._ranks(data, start[i : i + 1], start[i : i + 1] + 400)[0][0] for i in range(len(start))]
+    assert suffix_dedup._ranks(data, start, start + 400)[0].tolist() == one
 
 
 def brute_components(texts, k, percent):
