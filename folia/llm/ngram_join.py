@@ -16,9 +16,13 @@ components compare across components only: short lists by a join, long ones by p
 first and the others only where these did not connect the components. What passes is counted
 exactly on the whole sets. Links become components by hooks and jumps.
 
+A node is named by 63 bits of its set; a name that two different sets share (their 32 more bits
+tell) is drawn again from all 95 bits, and a set is always fetched by its name, never by ``doc_id``.
+
 Defined results: a null text or one without words has an empty set, is linked with nothing and
-is its own component; rows with equal sets (repeated rows too) share a component; a null
-``doc_id`` keeps its row and never names a component; an empty table gives an empty result.
+is its own component; rows with equal sets (repeated rows too) share a component; rows of one
+``doc_id`` with different texts are judged one by one, in any order of rows; a null ``doc_id``
+keeps its row and never names a component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -116,12 +120,14 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text), k))
 
 
-def node_of(s: np.ndarray) -> int:
-    """A name for the set: 63 bits of a hash over its sorted shingles and size."""
+def node_of(s: np.ndarray, bits: int = 63) -> tuple[int, int]:
+    """A name for the set, from a hash over its sorted shingles and size, and 32 bits of another one."""
     if not len(s):
-        return 0
-    h = mix(s + np.arange(1, len(s) + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).sum(dtype=_U)
-    return int(mix(np.array([h ^ _U(len(s))], _U))[0] >> _U(1))
+        return 0, 0
+    h = mix(s + np.arange(1, len(s) + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+    one, two = h.sum(dtype=_U) ^ _U(len(s)), mix(h ^ _U(0x3C3C3C3C)).sum(dtype=_U)
+    x, y = mix(np.array([one, two], _U)).tolist()
+    return x >> (64 - bits), y >> 33
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -161,30 +167,32 @@ def signatures(s: np.ndarray, scheme: Scheme) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, _U)
 
 
-def _sets(k: int, scheme: Scheme):
+def _sets(k: int, scheme: Scheme, name_bits: int):
     """Size, name, bitmap and lists of each document's set; of copies within a partition one has the lists."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         none = np.empty(0, np.int64)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
+            for doc_id, digest, text in zip(b["doc_id"], b["digest"], b["text"]):
                 s = shingle_set(text, k)
-                node = node_of(s)
+                node = node_of(s, name_bits)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                rows.append((doc_id, len(s), node, parity(s), none if node in seen else signatures(s, scheme).view(np.int64)))
+                rows.append((doc_id, digest, len(s), *node, parity(s), none if node in seen else signatures(s, scheme).view(np.int64)))
                 seen.add(node)
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "node", "bits", "sigs"])
+            yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "node", "check", "bits", "sigs"])
 
     return run
 
 
-def _content(k: int):
+def _content(k: int, name_bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"node": b["node"], "s": [shingle_set(t, k).tobytes() for t in b["text"]]})
+            sets = [shingle_set(t, k) for t in b["text"]]
+            names = [node_of(s, name_bits) for s in sets]
+            yield pd.DataFrame({"node": [x for x, _ in names], "check": [y for _, y in names], "s": [s.tobytes() for s in sets]})
 
     return run
 
@@ -274,16 +282,27 @@ def _count(percent: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, words: int, percent: int):
-        self.docs, self.words, self.percent = docs.select("doc_id", "text"), words, percent
+    def __init__(self, docs: DataFrame, words: int, percent: int, name_bits: int = 63):
+        self.docs, self.words, self.percent, self.name_bits = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text"), words, percent, name_bits
         # Sizes of the small sets, by their words: all that the boundary depends on, and bounded.
         size = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")) - (words - 1)
         most = math.ceil(MOST_LIGHT * 100 / percent)
         small = self.docs.where(F.length("text") < 60 * most).select(F.greatest(size, F.lit(1)).alias("n")).where(F.col("n") <= most).groupBy("n").count().collect()
         scheme = Scheme(percent, boundary({int(n): int(c) for n, c in small}, percent))
-        kind = f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long, bits binary, sigs array<long>"
-        self.rows = materialize(self.docs.mapInPandas(_sets(words, scheme), kind), "sets")
-        self.nodes = self.rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
+        kind = f"doc_id {dict(docs.dtypes)['doc_id']}, digest long, n long, node long, check long, bits binary, sigs array<long>"
+        rows = materialize(self.docs.mapInPandas(_sets(words, scheme, name_bits), kind), "sets")
+        clash = rows.where("n > 0").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("node", F.lit(True).alias("clash"))
+        self.clash = materialize(clash, "clashes")
+        self.clashes = not self.clash.isEmpty()
+        self.rows = self._renamed(rows)
+        self.nodes = self.rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "digest")).alias("row"), F.first("bits").alias("bits"))
+
+    def _renamed(self, rows: DataFrame) -> DataFrame:
+        """Names that different sets share, drawn again."""
+        if not self.clashes:
+            return rows
+        again = F.when(F.col("clash"), F.xxhash64("node", "check").bitwiseAND((1 << 63) - 1)).otherwise(F.col("node"))
+        return rows.join(self.clash, "node", "left").withColumn("node", again).drop("clash")
 
     def links(self) -> DataFrame:
         """Links between nodes, enough to connect every component."""
@@ -345,16 +364,18 @@ class _Join:
         if pairs.isEmpty():
             return pairs
         used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        reps = used.join(self.nodes.select("node", "rep"), "node")
-        texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["rep"])).select("node", "text")
-        sets = materialize(texts.mapInPandas(_content(self.words), "node long, s binary").dropDuplicates(["node"]), "content")
+        # One row of each node is read again; its set has the node's name, whatever else has the row's id.
+        row = materialize(used.join(self.nodes.select("node", "row"), "node").select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")).distinct(), "wanted")
+        texts = self.docs.join(row, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        content = self._renamed(texts.mapInPandas(_content(self.words, self.name_bits), "node long, check long, s binary")).drop("check")
+        sets = materialize(content.dropDuplicates(["node"]), "content")
         side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
         return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_count(self.percent), "a long, b long"), "links")
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    j = _Join(docs, words, percent)
+def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, name_bits: int = 63) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document. Fewer ``name_bits`` only cost time."""
+    j = _Join(docs, words, percent, name_bits)
     labels = components(j.links())
     named = j.nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -366,13 +387,14 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of linked ones, the one of least doc_id; documents without words
-    stay. Of repeated rows (equal doc_id and text) one stays."""
+    stay. Where ids repeat, a row stays if any row of its id has the group's least id; of rows with
+    equal doc_id and text one stays."""
     found = materialize(ngram_join(docs, words, percent), "groups")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept.withColumn("_text", F.sha2("text", 256)).dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -144,6 +144,19 @@ def test_join_is_exact(make, edge_texts, k, percent):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(texts, k, percent)
 
 
+@pytest.mark.parametrize("turn,name_bits", [(1, 63), (-1, 63), (1, 3)])
+def test_join_of_shared_and_null_ids(make, turn, name_bits):
+    """Sets go by their own name: rows that share an id, or have none, and names that several sets share."""
+    base = {g: words(300 + g, 40) for g in range(5)}
+    near = {g: [*w[:20], f"n{g}", *w[21:]] for g, w in base.items()}
+    text = lambda w: " ".join(w)
+    rows = [(1, text(base[0])), (1, text(base[1])), (2, text(near[0])), (3, text(near[1])), (None, text(base[2])), (None, text(base[3])), (None, text(near[2])), (8, text(near[3])),
+            (9, text(base[4])), (9, text(near[4])), (9, text(near[4]))]
+    rows += [(20 + i, text(words(700 + i, 30))) for i in range(30)]
+    got = ngram_join.ngram_join(make(rows[::turn]), 3, 80, name_bits).collect()
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows, 3, 80)
+
+
 def test_keep_one(make, edge_texts):
     kept = sorted((x.doc_id is None, x.doc_id or 0) for x in ngram_join.keep_one(make(edge_texts)).collect())
     ids = [i for none, i in kept if not none]
