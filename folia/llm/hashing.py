@@ -78,6 +78,18 @@ class Fingerprints:
         return h
 
 
+class WindowHashes:
+    """Running Karp-Rabin hashes of the windows of a sequence of word hashes."""
+
+    def __init__(self, words: np.ndarray):
+        self.sums = np.zeros(len(words) + 1, _U)
+        np.cumsum(mix(words) * _power(_BASES[0], len(words)), out=self.sums[1:])
+        self.inverse = _power(pow(_BASES[0], -1, 1 << 64), len(words) + 1)
+
+    def of(self, start: np.ndarray, length: int) -> np.ndarray:
+        return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ALNUM = np.zeros(256, bool)

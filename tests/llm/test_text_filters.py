@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -130,6 +131,25 @@ def test_tiling_covers_reordered_passages(spark, make, edge_texts):
     assert {x.doc_id for x in kept.collect()} == {i for i, _ in docs} - {60, 62, 63}
 
 
+def test_tiling_equals_its_definition():
+    """Random sequences over few words, so that matches overlap and repeat, against the definition."""
+    r = np.random.default_rng(3)
+    for turn in range(150):
+        a, b = r.integers(1, 3 + turn % 7, 40).astype(np.uint64), r.integers(1, 3 + turn % 7, 90).astype(np.uint64)
+        got = decontamination.tiles(a, b, 5)
+        assert sum(t[2] for t in got) == brute_tiles(a.tolist(), b.tolist(), 5)
+        assert all((a[q : q + n] == b[p : p + n]).all() for p, q, n in got)
+
+
+def test_tiling_of_repetitive_texts():
+    """Time follows the texts, not the pairs of equal seeds."""
+    index = decontamination.Index([(0, "same " * 500), (1, "ab cd " * 300)])
+    began = time.perf_counter()
+    assert decontamination._coverage(index, "same " * 200_000) == [(0, 500, 500)]
+    assert decontamination._coverage(index, "ab cd " * 20_000) == [(1, 600, 600)]
+    assert time.perf_counter() - began < 5
+
+
 def test_benchmark_in_blocks(spark, make, monkeypatch):
     items = [(i, " ".join(words(600 + i, 20))) for i in range(20)]
     docs = [(i, "x y z " + t) for i, t in items]
