@@ -8,12 +8,19 @@ those of links; the composite density is
 with zero denominators taken as 1: high for text, low for lists of links. A node's density sum
 is that of its children. The subtree of the greatest sum is the core of the article; the least
 density on its path from the body is the threshold: each node above it whose ancestors are above
-it too adds its own subtree of the greatest sum, and a headline before the core joins it. Elements that are no article by their nature (menus, forms, scripts, adverts, comments)
-don't take part.
+it too adds its own subtree of the greatest sum, and a headline before the core joins it.
+Elements that are no article by their nature (menus, forms, scripts) don't take part. Names of
+classes and ids are weighed with what a container holds: one named as a menu or a share bar goes
+if its links or its few characters a tag agree, one named as an advert, a notice, a sidebar or
+comments, which density can't tell from prose, goes unless it holds a headline, the main part or
+most of the text. Names of paragraphs and headings mean nothing.
+
+The page is scanned once, in time linear in its length.
 
 Defined results: a null or empty page, or one without text outside such elements, has an empty
-text; unclosed, unknown or stray tags are mended as browsers do; repeated rows are extracted
-one by one; an empty table gives an empty result; extra columns are ignored.
+text; unclosed, unknown or stray tags are mended as browsers do; a tag without its end is text;
+elements nested over ``MAX_DEPTH`` deep follow each other at that depth; repeated rows are
+extracted one by one; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,7 +36,11 @@ from pyspark.sql import DataFrame
 
 from .common import table
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: The rest of a tag with quoted values, and a tag's name.
+_TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Elements that are open at once (a fixed value of browsers).
+MAX_DEPTH = 512
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 #: Elements by kind (fixed values).
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -37,11 +49,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIPPED = frozenset("nav footer aside form script style noscript template iframe svg button select textarea dialog menu canvas audio video head title".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Names of a whole class token or id, alone or with a part of a page before or a part of the element after.
-_NAMES = re.compile(
-    r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|post|entry|cookie)[_-])?(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|header"
-    r"|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|overlay|popup|promos?|promotion|related|replies|reply|respond|share|sharing|sidebar\d*|skip|social|sponsor\w*|subscribe|subscription|toolbar"
-    r"|widgets?)(?:[_-](?:area|bar|block|box|buttons?|container|content|form|inner|items?|links?|list|menu|nav|notice|posts?|section|slot|unit|widget|wrap|wrapper|\d+))*")
+#: Names of a whole class token or id, alone or with a part of a page before or a part of the element after:
+#: of prose that is no article, and of links.
+_PART = r"(?:[_-](?:area|bar|block|box|buttons?|container|content|form|inner|items?|links?|list|menu|nav|notice|posts?|section|slot|unit|widget|wrap|wrapper|\d+))*"
+_PLACE = r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|post|entry|cookie)[_-])?"
+_ASIDE = re.compile(_PLACE + r"(?:ads?|advert\w*|adsense|banner|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|modal|newsletter|notices?|overlay|popup|promos?|promotion|replies|reply|respond|sidebar\d*"
+                    r"|sponsor\w*|subscribe|subscription|widgets?)" + _PART)
+_LINKS = re.compile(_PLACE + r"(?:breadcrumbs?|header|masthead|menus?|nav|navbar|navigation|related|share|sharing|skip|social|toolbar)" + _PART)
+#: A container named for links is one with so few characters a tag, or with a third of them in links.
+FEW_CHARS = 40
 #: Start tags that close an open element of the second kind within the third.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -56,7 +72,7 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.first = self.last = first
         self.density = 0.0
-        self.named = False
+        self.named = 0
 
 
 def _skipped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -73,19 +89,20 @@ def _skipped(tag: str, attributes: str, in_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(r"""=\s*("[^"]*"|'[^']*')""", "", attributes)))
 
 
-def _named(tag: str, attributes: str) -> bool:
-    """Whether a class or id says that a node is no article."""
-    if not attributes or tag in _KEPT:
-        return False
-    return any(_NAMES.fullmatch(token) for name, value in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for token in value.strip("\"'").lower().split())
+def _named(tag: str, attributes: str) -> int:
+    """Whether a class or id names a container as prose that is no article (2), or as links (1)."""
+    if not attributes or tag in _KEPT or tag == "p" or tag in HEADINGS:
+        return 0
+    tokens = [t for name, value in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for t in value.strip("\"'").lower().split()]
+    return 2 if any(map(_ASIDE.fullmatch, tokens)) else int(any(map(_LINKS.fullmatch, tokens)))
 
 
 def _without_named(root: Node, pieces: list[tuple[int, str, Node]]) -> None:
-    """Take out the named nodes, except those with a headline, the main part, the only articles or most of the text."""
-    sums = [0]
-    for _, text, _ in pieces:
-        sums.append(sums[-1] + len("".join(text.split())))
+    """Take out the named nodes that their content does not clear."""
+    if not any(x.named for x in _nodes(root)):
+        return
     nodes = _nodes(root)
+    _count(nodes, pieces)
     holds: dict[Node, tuple[int, int]] = {}
     for x in reversed(nodes):
         inner = [holds[c] for c in x.children]
@@ -96,10 +113,13 @@ def _without_named(root: Node, pieces: list[tuple[int, str, Node]]) -> None:
             gone.add(x)
         elif x.named:
             main, own = holds[x]
-            if not main and not (own and own == articles) and 2 * (sums[x.last] - sums[x.first]) <= sums[-1]:
+            cleared = main or own and own == articles or 2 * x.chars > root.chars
+            if not cleared and (x.named == 2 or 3 * x.link_chars > x.chars or x.chars < FEW_CHARS * max(1, x.tags)):
                 gone.add(x)
                 for i in range(x.first, x.last):
                     pieces[i] = (pieces[i][0], "", pieces[i][2])
+    for x in nodes:
+        x.chars = x.tags = x.link_chars = x.link_tags = 0
     if gone:
         for x in nodes:
             x.children = [c for c in x.children if c not in gone]
@@ -108,8 +128,8 @@ def _without_named(root: Node, pieces: list[tuple[int, str, Node]]) -> None:
 def parse(page: str) -> tuple[Node, list[tuple[int, str, Node]]]:
     """The tree and the pieces of text (block number, text, node) outside skipped elements."""
     root = Node("html", None, 0)
-    stack, skips, pieces = [root], [False], []
-    block, at, n = 0, 0, len(page)
+    stack, skips, pieces, opened = [root], [False], [], Counter()
+    block, at, n, last, quoted = 0, 0, len(page), page.rfind(">"), True
 
     def text(raw: str) -> None:
         if raw and not skips[-1]:
@@ -118,30 +138,49 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str, Node]]]:
     def pop(k: int) -> None:
         for node in stack[k:]:
             node.last = len(pieces)
+            opened[node.tag] -= 1
         del stack[k:], skips[k:]
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:
+            if (begin := page.find("<!--", at)) >= 0:  # a comment without its end
+                text(page[at:begin])
+            else:
+                text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        name = m.group(2) or m.group(5)
-        if not name:
+        if page.startswith("<!--", begin):
+            text(page[at:begin])
+            end = page.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
             continue
-        closing, attributes, tag = m.group(1) or m.group(4), m.group(3) or m.group(6) or "", name.lower()
+        if page[begin + 1 : begin + 2] in ("!", "?"):
+            text(page[at:begin])
+            at = page.index(">", begin) + 1
+            continue
+        closing = page[begin + 1] == "/"
+        name = _TAG_NAME.match(page, begin + 1 + closing)
+        if name is None:  # no tag: a sign, or an end tag without a name
+            text(page[at:begin] if closing else page[at : begin + 1])
+            at = page.index(">", begin) + 1 if closing else begin + 1
+            continue
+        end = _TAG_END.match(page, name.end()) if quoted else None
+        # Once a quote has no end, quotes mean nothing any more: so there is one such scan a page.
+        quoted = end is not None
+        text(page[at:begin])
+        at = end.end() if end else page.index(">", name.end()) + 1
+        attributes, tag = page[name.end() : at - 1], name.group().lower()
         if tag not in INLINE:
             block += 1
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if stack[k].tag == tag:
                     pop(k)
                     break
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and opened[tag]:
             continue
         if tag not in INLINE and stack[-1].tag not in _KEPT:  # a block element ends an open paragraph
             for k in range(len(stack) - 1, 0, -1):
@@ -158,7 +197,7 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str, Node]]]:
                 if stack[k].tag in own:
                     pop(k)
                     break
-        skip = skips[-1] or _skipped(tag, attributes, any(x.tag in ("article", "main") for x in stack))
+        skip = skips[-1] or _skipped(tag, attributes, opened["article"] + opened["main"] > 0)
         if tag == "br":
             text(" ")
         if tag in VOID:
@@ -171,7 +210,7 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str, Node]]]:
         if not skip:
             stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at, last + 1)
             if not skip:
                 raw = page[at : end.start() if end else n]
                 pieces.append((block, html.unescape(raw), node))
@@ -180,8 +219,17 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str, Node]]]:
             continue
         if attributes.endswith("/") and tag in ("svg", "math", "path"):
             continue
+        if len(stack) > MAX_DEPTH:
+            if skips[-1]:
+                continue
+            pop(MAX_DEPTH)
+            if not skip:
+                node.parent.children.pop()
+                node.parent = stack[-1]
+                stack[-1].children.append(node)
         stack.append(node)
         skips.append(skip)
+        opened[tag] += 1
     pop(1)
     root.last = len(pieces)
     _without_named(root, pieces)
@@ -197,8 +245,8 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
-def _measure(root: Node, pieces: list[tuple[int, str, Node]]) -> list[Node]:
-    nodes = _nodes(root)
+def _count(nodes: list[Node], pieces: list[tuple[int, str, Node]]) -> None:
+    """Characters and tags, and those of links, below every node."""
     for _, text, node in pieces:
         node.chars += len("".join(text.split()))
     for node in reversed(nodes):
@@ -210,6 +258,11 @@ def _measure(root: Node, pieces: list[tuple[int, str, Node]]) -> list[Node]:
             p.tags += node.tags + 1
             p.link_chars += node.link_chars
             p.link_tags += node.link_tags
+
+
+def _measure(root: Node, pieces: list[tuple[int, str, Node]]) -> list[Node]:
+    nodes = _nodes(root)
+    _count(nodes, pieces)
     body = next((x for x in nodes if x.tag == "body"), root)
     ratio = body.link_chars / max(1, body.chars)
     for x in nodes:
@@ -244,9 +297,6 @@ def main_nodes(root: Node, pieces: list[tuple[int, str, Node]]) -> list[Node]:
     while x is not None and x is not body:
         path.append(x)
         x = x.parent
-    for x in reversed(path):
-        if x.tag in ("article", "main"):
-            return [x]
     while best is not body and best.parent is not None and (best.tag in INLINE or best.tag == "p"):
         best = best.parent
     plain = lambda x: x.chars / max(1, x.tags)

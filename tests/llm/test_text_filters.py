@@ -250,6 +250,58 @@ def test_main_text_under_layout_names():
     assert "x+1" in html_text.main_text(f"<article><p>{'word ' * 30}<math><mi>x</mi>+<mn>1</mn></math></p></article>")
 
 
+def test_scan_is_linear():
+    """Broken pages of some 100 kB, each of which a backtracking or nested scan would not finish."""
+    for page in ("<a" * 50_000, "<div>" * 30_000, "<div>" * 15_000 + "</b>" * 15_000, "<a '>'" * 20_000, "<i><div>" + "<b>" * 9_000 + "</i>" * 9_000, "<div><body>" * 9_000, "</script " * 9_000, "<li>" * 20_000):
+        began = time.process_time()
+        assert isinstance(html_text.main_text(page), str)
+        assert time.process_time() - began < 3, page[:10]
+    assert html_text.main_text("<div>" * 2000 + "deep" + "</div>" * 2000) == "deep"
+
+
+def test_names_are_weighed_with_content():
+    page = f"""<body><div id=c><div class="article-header"><h1>The title</h1></div><p class="notice">The notice period is three months.</p><div class="share">{paragraphs('aa', 2)}</div>
+    <div class="share"><a href=x>one site</a> <a href=y>another site</a></div>{paragraphs('bb', 5)}<div class="comments"><p>{'opinion ' * 30}</p></div></div></body>"""
+    text = html_text.main_text(page)
+    assert text.startswith("The title\nThe notice period is three months.\naa0") and "bb4" in text and "another site" not in text and "opinion" not in text
+
+
+def test_density_is_the_formula():
+    """Densities and the core of random trees against the formula, each node counted on its own."""
+    r = random.Random(12)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.2:
+            return "".join(r.choice("ab ") for _ in range(r.randrange(60)))
+        tag = r.choice(["div", "div", "a", "span", "section"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(r.randrange(1, 4))) + f"</{tag}>"
+
+    for _ in range(60):
+        root, pieces = html_text.parse("<body>" + "".join(tree(5) for _ in range(3)) + "</body>")
+        nodes = html_text._measure(root, pieces)
+        below = {x: [y for y in nodes if y is not x and any(z is x for z in above(y))] for x in nodes}
+        chars = lambda x: sum(len("".join(t.split())) for _, t, n in pieces if n is x or n in below[x])  # noqa: E731, B023
+        links = lambda x: [y for y in [x, *below[x]] if y.tag == "a" and not any(z.tag == "a" for z in above(y) if z is x or z in below[x])]  # noqa: E731, B023
+        body = next(x for x in nodes if x.tag == "body")
+        for x in nodes:
+            c, t, lc = chars(x), len(below[x]), sum(chars(y) for y in links(x))
+            assert (x.chars, x.tags) == (c, t)
+            if x.tag == "a" or any(y.tag == "a" for y in below[x]):
+                continue
+            ratio = body.link_chars / max(1, body.chars)
+            want = 0 if not c else c / max(1, t) * np.log(max(c * max(1, t), 1.0)) / np.log(lc + ratio * c + np.e)
+            assert abs(x.density - want) < 1e-9 * max(1, want)
+        most = max(sum(y.density for y in x.children) for x in nodes)
+        core = html_text.main_nodes(root, pieces)[0]
+        assert core.tag in html_text.INLINE or sum(y.density for y in core.children) == most or core is body or any(sum(y.density for y in x.children) == most for x in below[core])
+
+
+def above(x):
+    while x is not None:
+        yield x
+        x = x.parent
+
+
 def test_pages_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     got = html_text.extract(pages).collect()
