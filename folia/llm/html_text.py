@@ -118,8 +118,6 @@ def _without_named(root: Node, pieces: list[tuple[int, str, Node]]) -> None:
                 gone.add(x)
                 for i in range(x.first, x.last):
                     pieces[i] = (pieces[i][0], "", pieces[i][2])
-    for x in nodes:
-        x.chars = x.tags = x.link_chars = x.link_tags = 0
     if gone:
         for x in nodes:
             x.children = [c for c in x.children if c not in gone]
@@ -247,6 +245,8 @@ def _nodes(root: Node) -> list[Node]:
 
 def _count(nodes: list[Node], pieces: list[tuple[int, str, Node]]) -> None:
     """Characters and tags, and those of links, below every node."""
+    for x in nodes:
+        x.chars = x.tags = x.link_chars = x.link_tags = 0
     for _, text, node in pieces:
         node.chars += len("".join(text.split()))
     for node in reversed(nodes):
