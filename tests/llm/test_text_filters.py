@@ -169,12 +169,12 @@ def test_surrogates(make):
     by = {r.doc_id: r for r in got}
     assert by[0].text is None and by[1].text == "" and by[2].text == texts[2][1] and by[2].n_entities == 0
     mail = re.search(r"\S+@\S+\.com", by[3].text).group()
-    assert mail != "été.34@mail7.example.com" and mail in by[4].text and re.fullmatch(r"[a-zà-ü]{3}\.\d\d@mail\d\.example\.com|[a-zà-ü]{3}\.\d\d@[a-z]{4}\d\.example\.com", mail)
+    assert mail != "été.34@mail7.example.com" and mail in by[4].text and re.fullmatch(r"[a-zß-ö]{3}\.\d\d@[a-z]{4}\d\.example\.com", mail)
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", by[3].text) and "555-7713" not in by[3].text
     octets = re.search(r"(\d+)\.(\d+)\.(\d+)\.(\d+)$", by[3].text).groups()
     assert all(len(o) == 3 and int(o) <= 255 for o in octets)
     assert re.search(r"card \d{16}$", by[4].text) and "9807915762804490" not in by[4].text
-    assert re.match(r"Mrs\. (?:" + "|".join(pii.NAMES["f"]) + r") [A-Z][a-z]{4} met Herr [А-Я][а-я]{5}$", by[5].text) and "Иванов" not in by[5].text
+    assert re.match(r"Mrs\. [A-Z][a-z]{4} met Herr [А-Я][а-я]{5}$", by[5].text) and "Иванов" not in by[5].text
     assert re.search(r'"[0-9a-f]{40}" \d{3}-\d{2}-\d{4}', by[6].text) and by[6].n_entities == 2
 
 
@@ -185,6 +185,56 @@ def test_surrogates_stay_distinct(make):
     assert len(set(got)) == 100 and not set(got) & {t for _, t in texts}
 
 
+def test_spellings_of_an_entity_agree(make):
+    texts = [(0, "Mr. Smith"), (1, "Mr Smith"), (2, "Mr. John Smith"), (3, "saw John Smith there"), (4, "Mrs Jane Smith"), (5, "a.b@x.com"), (6, "A.B@X.com"), (7, "+1 (017) 555-7713"), (8, "+1-017-555-7713"),
+             (9, "+10175557713"), (10, "743-555-3824"), (11, "1234-5678-9012-3456"), (12, "1234567890123456"), (13, "Dr. Maria Jones"), (14, "Ms. Maria Jones")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(make(texts)).collect()}
+    family = got[0].removeprefix("Mr. ")
+    assert re.fullmatch("[A-Z][a-z]+", family) and family != "Smith" and got[1] == f"Mr {family}"
+    john = got[2].split(" ")[1]
+    assert got[2] == f"Mr. {john} {family}" and got[3] == f"saw {john} {family} there" and john in pii.NAMES["m"]
+    assert got[4].split(" ")[1] in pii.NAMES["f"] and got[4].endswith(family)
+    assert got[6].lower() == got[5] and re.fullmatch(r"[A-Z]\.[A-Z]@[a-z]\.example\.com", got[6])
+    digits = {re.sub(r"\D", "", got[i]) for i in (7, 8, 9)}
+    assert len(digits) == 1 and digits != {"10175557713"} and got[7].startswith("+1 (") and got[8].startswith("+1-") and re.fullmatch(r"\+1\d{10}", got[9])
+    assert re.fullmatch(r"\d{3}-\d{3}-\d{4}", got[10]) and got[10] != texts[10][1]
+    assert got[11].replace("-", "") == got[12] != "1234567890123456"
+    assert got[13].removeprefix("Dr. ") == got[14].removeprefix("Ms. ") != "Maria Jones"
+
+
+def test_draws_come_to_an_end(make):
+    """More values than surrogates of their length, and scripts whose letters have no alphabet."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [(i, f"{x}@{y}.com") for i, (x, y) in enumerate((x, y) for x in letters for y in letters)] + [(1000, "a@b.net.com"), (1001, "a@c.net.com")]
+    texts += [(1100, "Mr. Պետրոս"), (1101, "Mr. Ვახო"), (1102, "ⴰⴱ@ⴰ.com"), (1103, "ⴰⴳ@ⴰ.com")] + [(2000 + i, f"{i // 10}.{i % 10}.1.1") for i in range(100)]
+    got = [r.text for r in pii.pseudonymise(make(texts)).collect()]
+    assert len(set(got)) == len(texts) and not set(got) & {t for _, t in texts if not t.endswith("Ვახო")}
+
+
+def brute_matches(text):
+    import regex
+
+    return [m.group() for m in regex.finditer(pii.ANY, text or "")]
+
+
+def test_entities_against_another_matcher(make, edge_texts):
+    """Each text is its pieces between matches, with as many replacements, in all columns and rows."""
+    import regex
+
+    texts = edge_texts + [(50, "mail a@b.org, " * 3000), (51, "x 1.2.3.4 y"), (51, "x 1.2.3.4 y"), (52, "Mr. Lee and Ann Lee, 555.123.4567; 0123456789abcdef0123456789abcdef")]
+    got = pii.pseudonymise(make(texts))
+    assert got.columns == [c for c in make(texts).columns if c != "n_entities"] + ["n_entities"]
+    rows = got.collect()
+    assert len(rows) == len(texts) and pii.pseudonymise(make([])).count() == 0
+    left = list(rows)
+    for i, t in texts:
+        between = regex.split("(?:" + pii.ANY + ")", t) if t is not None else None
+        own = next(r for r in left if r.doc_id == i and (r.text is None) == (t is None) and r.n_entities == len(brute_matches(t))
+                   and (t is None or regex.fullmatch(r"(?:.+?)".join(map(regex.escape, between)), r.text, regex.S)))
+        left.remove(own)
+        assert not brute_matches(t) and own.text == t or own.text != t
+
+
 def test_pii_plan_is_native(make):
     found = pii.pseudonymise(make([(1, "x@y.org")]))._jdf.queryExecution().toString()
     assert "Python" not in found and "Pandas" not in found and "Arrow" not in found
