@@ -53,9 +53,11 @@ PATTERNS = {
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(sorted(GIVEN['m'] + GIVEN['f']))}) {_NAME})(?![\p{{L}}\p{{N}}])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: For texts without an at sign: the same matches, faster.
-_REST = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email")
+_NUMBERS = "(?=[0-9+(])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("ssn", "phone", "ip", "card")) + ")"
+_WORDS = rf"(?=[0-9A-Za-f])(?<![\p{{L}}\p{{N}}])(?:{PATTERNS['secret']}|(?=[A-Z]){PATTERNS['person']})"
+#: All of them for texts without an at sign and for others; the first character decides what is tried at a place.
+_REST = f"{_NUMBERS}|{_WORDS}"
+ANY = f"(?:{PATTERNS['email']})|{_REST}"
 
 
 def _letters_of(first: str, last: str) -> str:
