@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE_ROWS = 512
+_NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,5 +50,30 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], kind: str) -> DataFrame:
+    """``df.mapInPandas(run, kind)``, but a worker holds the Python objects of ``SLICE_ROWS`` rows at a
+    time instead of a whole batch, and whole numbers stay whole beside nulls."""
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = (b.slice(a, SLICE_ROWS).to_pandas(types_mapper=_NULLABLE.get) for b in batches for a in range(0, b.num_rows, SLICE_ROWS))
+        for out in run(slices):
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
+
+    return df.mapInArrow(arrow, kind)
+
+
+def keep_texts(docs: DataFrame, wanted: Callable[[str | None], bool]) -> DataFrame:
+    """The rows whose text is ``wanted``, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            yield b.filter(pa.array([wanted(t.as_py()) for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep_texts, map_slices, table
 from .hashing import WindowHashes, shingle_hashes, word_hashes
 
 SEED = 5
@@ -169,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                 rows = [(d, index.items[k][0], n, m) for d, t in zip(b["doc_id"], b["text"]) for k, n, m in _coverage(index, t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_words", "tiled_words"])
 
-        part = docs.select("doc_id", "text").mapInPandas(run, kind)
+        part = map_slices(docs.select("doc_id", "text"), run, kind)
         out = part if out is None else out.unionByName(part)
     share = F.col("tiled_words") / F.col("item_words")
     return out.withColumn("coverage", share).withColumn("contaminated", F.col("coverage") >= threshold)
@@ -179,14 +179,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """The documents of which no item is covered to ``threshold``, with all their columns."""
     for index in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for b in batches:
-                keep = [all(m < threshold * n for _, n, m in _coverage(index, t)) for t in b["text"]]
-                yield b[np.array(keep, bool)]
-
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = keep_texts(docs, lambda text, shared=shared: all(m < threshold * n for _, n, m in _coverage(shared.value, text)))
     return docs
 
 

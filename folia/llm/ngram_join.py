@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_slices, materialize
 from .components import components
 from .hashing import mix, shingle_hashes, word_hashes
 
@@ -290,7 +290,7 @@ class _Join:
         small = self.docs.where(F.length("text") < 60 * most).select(F.greatest(size, F.lit(1)).alias("n")).where(F.col("n") <= most).groupBy("n").count().collect()
         scheme = Scheme(percent, boundary({int(n): int(c) for n, c in small}, percent))
         kind = f"doc_id {dict(docs.dtypes)['doc_id']}, digest long, n long, node long, check long, bits binary, sigs array<long>"
-        rows = materialize(self.docs.mapInPandas(_sets(words, scheme, name_bits), kind), "sets")
+        rows = materialize(map_slices(self.docs, _sets(words, scheme, name_bits), kind), "sets")
         clash = rows.where("n > 0").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("node", F.lit(True).alias("clash"))
         self.clash = materialize(clash, "clashes")
         self.clashes = not self.clash.isEmpty()
@@ -367,7 +367,7 @@ class _Join:
         # One row of each node is read again; its set has the node's name, whatever else has the row's id.
         row = materialize(used.join(self.nodes.select("node", "row"), "node").select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")).distinct(), "wanted")
         texts = self.docs.join(row, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        content = self._renamed(texts.mapInPandas(_content(self.words, self.name_bits), "node long, check long, s binary")).drop("check")
+        content = self._renamed(map_slices(texts, _content(self.words, self.name_bits), "node long, check long, s binary")).drop("check")
         sets = materialize(content.dropDuplicates(["node"]), "content")
         side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
         return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_count(self.percent), "a long, b long"), "links")

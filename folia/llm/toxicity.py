@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, keep_texts, map_slices, materialize, table
 from .hashing import mix, word_hashes
 
 #: (category, label column, value that is positive), in the order of the chain.
@@ -105,7 +105,7 @@ def _words(docs: DataFrame, labels: DataFrame, categories, most: int) -> DataFra
 
     kind = "row long, fold int, " + ", ".join(f"{n} int" for n in names) + ", words array<long>"
     own = one.select(F.xxhash64("doc_id").alias("row"), fold.alias("fold"), *names, "text")
-    return materialize(own.mapInPandas(run, kind), "training")
+    return materialize(map_slices(own, run, kind), "training")
 
 
 def _chosen(rows: DataFrame, k: int) -> dict[int, np.ndarray]:
@@ -242,18 +242,13 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], **{f"p_{n}": p[:, k] for k, n in enumerate(names)}})
 
     kind = f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"p_{n} double" for n in names)
-    return docs.select("doc_id", "text").mapInPandas(run, kind).withColumn("rejected", F.col(f"p_{names[-1]}") >= threshold)
+    return map_slices(docs.select("doc_id", "text"), run, kind).withColumn("rejected", F.col(f"p_{names[-1]}") >= threshold)
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """The documents whose last category stays below ``threshold``, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[np.array([shared.value.probabilities(t)[-1] < threshold for t in b["text"]], bool)]
-
-    return docs.mapInPandas(run, docs.schema)
+    return keep_texts(docs, lambda text: shared.value.probabilities(text)[-1] < threshold)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
