@@ -2,13 +2,18 @@
 
 A byte-level BPE first splits the text into pre-tokens and merges inside each. No pre-token
 holds a non-space character followed by white space, so every such place is a pre-token
-boundary whatever stands around it: a *proven stable boundary*. Texts are cut there, each
+boundary whatever stands around it: a *proven stable boundary*. Short texts are cut there, each
 distinct segment is encoded once per worker, and a document's tokens are its segments'.
 
-Huge documents become overlapping chunks that may run on different executors. Each chunk
-encodes its core and the overlap after it; neighbours splice at the first stable boundary
-that both found in the overlap. Where they found none or different ones, the document runs
-again with a wider overlap, at last with the whole document as one chunk.
+Huge documents become chunks that may run on different executors. Neighbours overlap by
+``overlap`` characters on either side of their border, and each encodes all of its text, overlaps
+included, with the byte offsets of its tokens. They splice at the first stable boundary of the
+overlap where a token begins in both, and only if both have the same tokens from there to the
+last such boundary. Where there is none, or the tokens differ, the document runs again with wider
+overlaps and chunks, at last as one chunk.
+
+That is so for byte-level BPE files. For other vocabularies no boundary is proven, and every
+text is encoded at once.
 
 Defined results: a null text counts as empty (0 tokens); a null or repeated ``doc_id`` keeps
 one row per input row; an empty table gives an empty result; extra columns are ignored.
@@ -19,14 +24,16 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, map_slices, materialize
 
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
@@ -58,7 +65,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.cache: dict[str, bytes | None] = {}
-        self.merge = None
+        self.merge = self._sizes = None
         self.piece = path.endswith(".model")
         if self.piece:
             import sentencepiece
@@ -99,6 +106,15 @@ class Encoder:
             return array("I", self.library.encode(text)).tobytes()
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def sizes(self) -> np.ndarray:
+        """Bytes that each id of a byte-level vocabulary stands for."""
+        if self._sizes is None:
+            vocab = self.library.get_vocab(with_added_tokens=True)
+            self._sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+            for token, k in vocab.items():
+                self._sizes[k] = len(token.encode()) if token in self.added else len(token)
+        return self._sizes
+
     def _segment(self, segment: str) -> bytes:
         if self.merge is not None and max(segment) < "ɐ" and not any(a in segment for a in self.added):
             return array("I", self.merge.encode_ordinary(segment)).tobytes()
@@ -150,58 +166,81 @@ def _count_whole(path: str):
     return run
 
 
+_CHUNK = "key string, j long, last long, text string"
+_BOUNDARIES = "array<struct<p:long,n:long>>"
+
+
 def _chunks(chunk: int, overlap: int):
-    """Rows (key, n, j, lead, text): core [j*chunk, (j+1)*chunk), one character before it and the overlap after it."""
+    """Rows (key, j, last, text): characters [j * chunk, (j + 1) * chunk) and the overlaps around them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for key, text in zip(b["key"], b["text"]):
                 n = len(text)
-                last = max(1, -(-n // chunk)) if n > chunk + overlap else 1
-                for j in range(last):
-                    a, z = max(0, j * chunk - 1), n if j == last - 1 else min(n, (j + 1) * chunk + overlap)
-                    yield pd.DataFrame({"key": [key], "n": [n], "last": [last], "j": [j], "text": [text[a:z]]})
+                many = -(-n // chunk) if n > chunk + overlap else 1
+                for j in range(many):
+                    a, z = (max(0, j * chunk - overlap), min(n, (j + 1) * chunk + overlap)) if many > 1 else (0, n)
+                    yield pd.DataFrame({"key": [key], "j": [j], "last": [many - 1], "text": [text[a:z]]})
 
     return run
 
 
-def _count_chunk(path: str, chunk: int):
-    """The tokens between a chunk's first stable boundary and its neighbour's, and where these are."""
+def _boundaries(text: str, starts: np.ndarray, ids: np.ndarray, a: int, z: int, base: int) -> tuple[list[tuple[int, int]], int]:
+    """Stable boundaries in text[a:z] where a token begins: (place in the document, tokens before it);
+    and a checksum of the tokens from the first to the last of them."""
+    out, place, at = [], len(text[:a].encode()), a
+    for m in _STABLE.finditer(text, a, z):
+        if m.start() == a:  # the neighbour may not see the character before it
+            continue
+        place += len(text[at : m.start()].encode())
+        at = m.start()
+        k = int(np.searchsorted(starts, place))
+        if starts[k] == place:
+            out.append((at + base, k))
+    return out, zlib.crc32(ids[out[0][1] : out[-1][1]].tobytes()) if out else 0
+
+
+def _encode_chunk(path: str, chunk: int, overlap: int):
+    """(key, j, last, n_tokens, and for the overlaps on the left and right: boundaries and checksum)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
         for b in batches:
             rows = []
-            for key, n, last, j, text in zip(b["key"], b["n"], b["last"], b["j"], b["text"]):
-                base = max(0, j * chunk - 1)
-                cuts = [m.start() + base for m in _STABLE.finditer(text)] if last > 1 else []
-                begin = 0 if j == 0 else next((p for p in cuts if p >= j * chunk), None)
-                end = n if j == last - 1 else next((p for p in cuts if p >= (j + 1) * chunk), None)
-                good = begin is not None and end is not None and begin <= end
-                rows.append((key, j, begin if good else -1, end if good else -2, e.count(text[begin - base : end - base]) if good else 0, good))
-            yield pd.DataFrame(rows, columns=["key", "j", "begin", "end", "n_tokens", "good"])
+            for key, j, last, text in zip(b["key"], b["j"], b["last"], b["text"]):
+                ids = np.frombuffer(e._library(text), np.uint32)
+                starts = np.concatenate(([0], np.cumsum(e.sizes()[ids])))
+                base = max(0, j * chunk - overlap)
+                left = _boundaries(text, starts, ids, 0, 2 * overlap, base) if j else ([], 0)
+                right = _boundaries(text, starts, ids, (j + 1) * chunk - overlap - base, (j + 1) * chunk + overlap - base, base) if j < last else ([], 0)
+                rows.append((key, j, last, len(ids), *left, *right))
+            yield pd.DataFrame(rows, columns=["key", "j", "last", "n_tokens", "left", "left_sum", "right", "right_sum"])
 
     return run
 
 
 def _spliced(huge: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     """n_tokens by key of the huge texts."""
-    done = None
+    done, kind = None, f"key string, j long, last long, n_tokens long, left {_BOUNDARIES}, left_sum long, right {_BOUNDARIES}, right_sum long"
     while True:
-        chunks = huge.mapInPandas(_chunks(chunk, overlap), "key string, n long, last int, j int, text string")
-        chunks = chunks.repartition(F.col("key"), F.col("j"))
-        parts = materialize(chunks.mapInPandas(_count_chunk(path, chunk), "key string, j int, begin long, end long, n_tokens long, good boolean"), "chunks")
-        parts = parts.groupBy("key", "j").agg(*[F.first(c).alias(c) for c in ("begin", "end", "n_tokens", "good")])
-        # Chunks fit if each begin but the first one's is the end of the chunk before it.
-        ends = F.transform(F.col("c"), lambda c: c["end"])
-        begins = F.transform(F.col("c"), lambda c: c["begin"])
-        whole = (parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("j", "begin", "end"))).alias("c"), F.sum("n_tokens").alias("n_tokens"), F.every("good").alias("good"))
-                 .select("key", "n_tokens", (F.col("good") & (F.slice(ends, 1, F.size("c") - 1) == F.slice(begins, 2, F.size("c") - 1))).alias("good")))
+        chunks = huge.mapInPandas(_chunks(chunk, overlap), _CHUNK).repartition(F.col("key"), F.col("j"))
+        parts = materialize(map_slices(chunks, _encode_chunk(path, chunk, overlap), kind), "chunks")
+        before = parts.where("j < last").select("key", (F.col("j") + 1).alias("j"), "right", "right_sum")
+        pairs = parts.where("j > 0").select("key", "j", "left", "left_sum").join(before, ["key", "j"])
+        both = F.filter("left", lambda x: F.exists("right", lambda y: y["p"] == x["p"]))
+        pairs = pairs.withColumn("here", F.get(both, 0))
+        there = F.get(F.filter("right", lambda y: y["p"] == F.col("here.p")), 0)
+        # Tokens of a document: the last chunk's, and at each splice those before it in the one chunk less those in the other.
+        splice = pairs.select("key", (there["n"] - F.col("here.n")).alias("n"), (F.col("here").isNotNull() & (F.col("left_sum") == F.col("right_sum"))).alias("good"))
+        ends = parts.where("j = last").select("key", F.col("n_tokens").alias("n"), F.lit(True).alias("good"))
+        whole = materialize(splice.unionByName(ends).groupBy("key").agg(F.sum("n").alias("n_tokens"), F.every("good").alias("good")), "spliced")
+        discard(parts)
         good, bad = whole.where("good").drop("good"), whole.where("NOT good")
         done = good if done is None else done.unionByName(good)
         if bad.isEmpty():
             return done
         overlap *= WIDEN
+        chunk = max(chunk, 4 * overlap)
         huge = huge.join(bad.select("key"), "key", "left_semi")
 
 
@@ -215,7 +254,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
         counts = rows.where(~huge).mapInPandas(_count_whole(path), kind)
         large = rows.where(huge).withColumn("key", F.sha2("text", 256))
         if not large.isEmpty():
-            spliced = _spliced(large.groupBy("key").agg(F.first("text").alias("text")), path, chunk, overlap)
+            spliced = _spliced(large.select("key", "text").dropDuplicates(["key"]), path, chunk, overlap)
             counts = counts.unionByName(large.select("doc_id", "n_bytes", "key").join(spliced, "key").drop("key"))
     else:
         counts = rows.mapInPandas(_count_whole(path), kind)

@@ -2,9 +2,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 
 from folia.llm import packing, tokens
 
+from .conftest import words
+
 TRICKY = ["a  b", "a\n b <|endoftext|> c　 d", "  x é​ y  ", "don't you're", "\t x", " ", "日本語 テキスト 😀 ok", "it's  \n\n  it", "a  b", "x" * 50, "1 2  3\n\n\n4 "]
 
 
@@ -23,6 +26,21 @@ def test_counts_with_chunks_and_widening(make, edge_texts):
     assert all(r.over_limit == (r.n_tokens > 512) for r in got)
 
 
+def test_neighbours_splice_at_common_boundaries():
+    """Both chunks of a border have the same boundaries and tokens, whatever the cut; a false one is told by its checksum."""
+    e = tokens.encoder(tokens.default_path())
+    text = " ".join(words(5, 400)) + " x é​ y <|endoftext|> " + "don't you're 日本 語 " * 20
+    ids = np.array(e.library.encode(text, add_special_tokens=False).ids)
+    rows = [r for f in tokens._encode_chunk(tokens.default_path(), 700, 60)(tokens._chunks(700, 60)(iter([pd.DataFrame({"key": ["k"], "text": [text]})]))) for r in f.itertuples()]
+    assert len(rows) > 3
+    total = rows[-1].n_tokens
+    for a, b in zip(rows, rows[1:]):
+        assert [p for p, _ in a.right] == [p for p, _ in b.left] and a.right and a.right_sum == b.left_sum
+        assert all(text[p - 1] != " " == text[p] for p, _ in a.right)
+        total += a.right[0][1] - b.left[0][1]
+    assert total == len(ids)
+
+
 def test_other_vocabularies(make):
     import public_tokenizers
     import sentencepiece
