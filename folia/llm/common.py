@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -36,12 +38,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     costs a re-read of shared files, never a recomputation of what came before.
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with writing(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+#: Settings while an intermediate table is written: the shuffle files go with the execution, as only the
+#: table is read later (else they stay until the driver happens to collect its garbage), and Arrow batches are small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
+
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """``WRITING`` holds inside, as far as the engine knows these settings."""
+    before = {}
+    for k, v in WRITING.items():
+        try:
+            before[k] = spark.conf.get(k)
+            spark.conf.set(k, v)
+        except PySparkException:
+            before.pop(k, None)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` returned and whose every use has been written."""
     for df in tables:

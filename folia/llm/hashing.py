@@ -102,6 +102,10 @@ def _runs(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Bytes whose words are hashed at once.
+STRETCH = 1 << 18
+
+
 def word_hashes(text: str | None, letters: bool = False, prefix: int = 0) -> np.ndarray:
     """64-bit hashes of the words of a text, in order.
 
@@ -111,12 +115,18 @@ def word_hashes(text: str | None, letters: bool = False, prefix: int = 0) -> np.
     """
     raw = (text or "").lower().encode("utf-8", "replace") if letters else (text or "").encode("utf-8", "replace").lower()
     data = np.frombuffer(raw, np.uint8)
-    if not len(data):
-        return np.empty(0, _U)
-    starts, ends = _runs(_ALNUM[data] if letters else ~_SPACE[data])
+    inside = _ALNUM[data] if letters else ~_SPACE[data]
+    starts, ends = _runs(inside)
     if not len(starts):
         return np.empty(0, _U)
-    return Fingerprints(data, 1).of(starts, np.minimum(ends, starts + prefix) if prefix else ends)
+    ends = np.minimum(ends, starts + prefix) if prefix else ends
+    out, i = np.empty(len(starts), _U), 0
+    while i < len(starts):  # the words of a stretch at a time: bounds a worker's memory
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, a + STRETCH)))
+        out[i:j] = Fingerprints(data[a : int(ends[j - 1])], 1).of(starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -307,7 +307,8 @@ class _Join:
     def links(self) -> DataFrame:
         """Links between nodes, enough to connect every component."""
         entries = self.rows.select(F.explode("sigs").alias("sig"), "node")
-        shared = entries.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig")
+        # Written on their own: the shuffle of the counts is gone before that of the lists, and the engine splits a hot list.
+        shared = materialize(entries.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig"), "shared")
         lists = materialize(entries.join(shared, "sig"), "lists").distinct()
         # Stars: each node looks at one pivot of another component, the one of most of its lists.
         # Pivots are drawn by a hash that is the same in all lists and new in each round.

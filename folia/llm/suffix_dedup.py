@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shared_dir
+from .common import discard, materialize, shared_dir, writing
 from .hashing import Fingerprints, gram_order, range_hashes, sliding_argmin
 
 LENGTH = 400
@@ -221,7 +221,8 @@ def _bucketed(texts: DataFrame) -> tuple[DataFrame, str]:
     """``texts`` written in buckets by name: joins by name then leave them where they are."""
     spark, name = texts.sparkSession, f"texts_{uuid.uuid4().hex}"
     many = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts.write.format("parquet").bucketBy(many, *KEY).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    with writing(spark):
+        texts.write.format("parquet").bucketBy(many, *KEY).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     out = spark.table(name)
     out._written = f"{shared_dir(spark)}/{name}"
     return out, name

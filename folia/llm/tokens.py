@@ -40,7 +40,7 @@ OVERLAP_CHARS = 512
 WIDEN = 8
 LIMIT = 512
 #: Distinct segments a worker remembers; a full memory starts anew.
-CACHE_SEGMENTS = 800_000
+CACHE_SEGMENTS = 200_000
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _STABLE = re.compile(r"(?<=\S)(?= )")
