@@ -78,3 +78,6 @@ def env_int(name: str, default: int, low: int, high: int) -> int:
 def env_bool(name: str, default: bool = False) -> bool:
     value = os.environ.get(name)
     return default if value is None else value.strip().lower() in ("1", "true", "yes")
+
+#: Limits of a small host: resolution, and pages of a call and of a job (fixed values).
+SAFE_DPI, SYNC_MAX_PAGES, ASYNC_MAX_PAGES = 300, 5, 100

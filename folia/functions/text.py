@@ -154,3 +154,10 @@ def register(spark: SparkSession) -> None:
       RETURN lower(trim(regexp_replace(replace(replace(t, 'ﬁ', 'fi'), 'ﬂ', 'fl'), r'(?U)\s+', ' ')))""")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION folia_cer(r STRING, h STRING) RETURNS DOUBLE
       RETURN try_divide(cast(levenshtein(folia_normalize(r), folia_normalize(h)) AS DOUBLE), cast(length(folia_normalize(r)) AS DOUBLE))""")
+
+
+def json_list(content: Column, item: str) -> Column:
+    """A JSON list (``item``: type of its elements), with or without a fence around it; anything else is null."""
+    inner = strip(json_from_fence(content))
+    # Broken JSON has no outermost array, however much of it could be read.
+    return F.when(inner.startswith("[") & F.json_array_length(inner).isNotNull(), F.from_json(inner, f"array<{item}>"))

@@ -153,7 +153,28 @@ def bank_tables(questions: DataFrame) -> dict[str, DataFrame]:
         "doc_id", (F.col("question_number") * 1000).alias("question_number"), "section", "page_number", F.concat(F.lit("[OR] "), "or_text").alias("question_text"), "marks",
         "difficulty", "question_type", F.lit(False).alias("has_or_alternative"), F.col("question_number").alias("or_of"))
     opts = questions.select("doc_id", "question_number", F.posexplode("options").alias("sort_order", "o")).select("doc_id", "question_number", "sort_order", "o.label", "o.text")
-    return {"documents": questions.groupBy("doc_id").agg(F.count("*").alias("total_questions")), "questions": own.unionByName(alternative), "question_options": opts}
+    out = {"documents": questions.groupBy("doc_id").agg(F.count("*").alias("total_questions")), "questions": own.unionByName(alternative), "question_options": opts}
+    # Children of questions that have them: columns ``images`` (paths) and ``sub_parts`` (label, text, marks).
+    for name, column, fields in (("question_images", "images", {"image_path": "o"}), ("question_parts", "sub_parts", {"label": "o.label", "text": "o.text", "marks": "o.marks"})):
+        if column in questions.columns:
+            rows = questions.select("doc_id", "question_number", F.posexplode(column).alias("sort_order", "o"))
+            out[name] = rows.select("doc_id", "question_number", "sort_order", *[F.col(c).alias(n) for n, c in fields.items()])
+    return out
+
+
+def bank_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """doc_id, table and rows of each table of ``bank_tables``."""
+    out = None
+    for name, df in tables.items():
+        part = df.groupBy("doc_id").agg(F.count("*").alias("n_rows")).withColumn("table", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def question_order(segments: DataFrame) -> DataFrame:
+    """Segments with their place in their document: by question number, where number 0 and none come last."""
+    by = Window.partitionBy("doc_id").orderBy(F.coalesce(F.nullif("question_number", F.lit(0)), F.lit(9999)), "page_number", "segment")
+    return segments.withColumn("place", F.row_number().over(by))
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], version: str = "ingested_at") -> DataFrame:

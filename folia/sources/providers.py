@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LLM_BATCH, OCR_CHUNK_PAGES
+from ..functions.text import json_list
 from ..operators.confidence import PAGE, chunk_pages, progressive_retry
 
 MODULES = {"pymupdf": "fitz", "tesseract": "pytesseract", "paddleocr": "paddleocr", "sarvam": "sarvamai", "math": "pix2tex", "tables": "camelot", "llm": "openai", "vlm": "openai"}
@@ -69,3 +70,28 @@ def prompt_batches(questions: DataFrame, size: int = LLM_BATCH) -> DataFrame:
     line = F.format_string("Q%d: %s", "question_number", "text")
     rows = questions.withColumn("batch", F.floor((order - 1) / size).cast("int"))
     return rows.groupBy("doc_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("question_number", line.alias("l")))), lambda x: x["l"]), "\n").alias("prompt"))
+
+
+def enrich_questions(questions: DataFrame, model: Callable[[str], str | None], size: int = LLM_BATCH, attempts: int = 3, backoff: float = 1.0) -> DataFrame:
+    """doc_id, question_number, topic, marks and difficulty by a model that answers a batch's prompt with a
+    JSON list. A batch whose answer fails ``attempts`` times, or is no list, has no rows: its questions
+    keep what ``enrich_fallback`` gives them when the result is joined by ``join_enrichment``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            answers = []
+            for prompt in b["prompt"]:
+                answer = None
+                for k in range(attempts):
+                    try:
+                        answer = model(prompt)
+                        break
+                    except Exception:
+                        time.sleep(backoff * (k + 1) if k < attempts - 1 else 0)
+                answers.append(answer)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "batch": b["batch"], "answer": answers})
+
+    prompts = prompt_batches(questions, size)
+    answered = prompts.mapInPandas(run, f"doc_id {dict(questions.dtypes)['doc_id']}, batch int, answer string")
+    rows = answered.select("doc_id", "batch", F.posexplode(json_list(F.col("answer"), "question_number:int,topic:string,marks:int,difficulty:string".join(("struct<", ">")))).alias("at", "e"))
+    return rows.select("doc_id", "e.*", (F.col("batch") * 1_000_000 + F.col("at")).alias("ordinal")).where("question_number IS NOT NULL")
