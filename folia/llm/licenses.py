@@ -72,23 +72,45 @@ promote products derived from this software without specific prior written permi
 TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
           "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"]}
 
+#: Digests of the canonical forms of whole published licence texts (fixed values).
+DIGESTS = {
+    "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543": "Apache-2.0",
+    "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2": "Artistic-1.0",
+    "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e": "CC0-1.0",
+    "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60": "GFDL-1.2",
+    "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826": "GFDL-1.3",
+    "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c": "GPL-1.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "093bb37bff6533bc1f91f57d671e3e2cc9e4e27afc1293808fddc861a6d15329": "GPL-3.0",
+    "289c8b47fa0ec7e5f22cd33d32feaa06f015b0f2fdb9ad916979b1011ca8c015": "LGPL-2.0",
+    "5ddd6039d3b090c51328879800301dd19b1ad99e14d00f3c6f221ab45a32db57": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6": "MPL-1.1",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
+}
+
 
 def canonical(text: Column, published: bool = False) -> Column:
     out = F.lower(F.regexp_replace(text, NOTICE_LINE, "")) if published else F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
-    out = F.concat(F.lit(" "), out, F.lit(" "))
+    # Each word has its own spaces, so that neighbours don't share one.
+    out = F.concat(F.lit(" "), F.replace(out, F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(_spaced(a)), F.lit(_spaced(b)))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+
+
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def canonical_text(text: str) -> str:
     """The same for one text on the driver, for the registry."""
     out = "\n".join(x for x in text.lower().split("\n") if not re.match(r"[^\w\n]*(?:copyright|©|\(c\))", x))
-    out = f" {re.sub(r'[^0-9a-z]+', ' ', out).strip()} "
+    out = _spaced(re.sub(r"[^0-9a-z]+", " ", out).strip())
     for a, b in SPELLINGS:
-        out = out.replace(f" {a} ", f" {b} ")
-    return out.strip()
+        out = out.replace(_spaced(a), _spaced(b))
+    return out.replace("  ", " ").strip()
 
 
 def registry(published: bool = False) -> dict[str, str]:
@@ -97,7 +119,7 @@ def registry(published: bool = False) -> dict[str, str]:
     if published:
         texts += PUBLISHED.items()
         texts += [(name, f"{title}\n{dict(texts)[name]}") for name, titles in TITLES.items() for title in titles]
-    return {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in texts}
+    return {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in texts} | (DIGESTS if published else {})
 
 
 def licenses(docs: DataFrame, published: bool = False) -> DataFrame:
@@ -127,10 +149,10 @@ def query_published(docs: DataFrame) -> DataFrame:
 
 def _canonical_sql(x: str) -> str:
     out = f"trim(regexp_replace(regexp_replace(lower({x}), '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(?:copyright|©|\\(c\\))(?:[^\\n]*)$', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    out = f"(' ' || {out} || ' ')"
+    out = f"(' ' || replace({out}, ' ', '  ') || ' ')"
     for a, b in SPELLINGS:
-        out = f"replace({out}, ' {a} ', ' {b} ')"
-    return f"trim({out})"
+        out = f"replace({out}, '{_spaced(a)}', '{_spaced(b)}')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 ORACLE = f"""

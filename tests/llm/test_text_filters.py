@@ -1,8 +1,10 @@
+import os
 import random
 import re
 import time
 
 import numpy as np
+import pytest
 
 from folia.llm import decontamination, html_text, licenses, pii, toxicity
 
@@ -260,6 +262,23 @@ def test_licenses_as_published(make):
     assert got[5].digest != got[6].digest == got[7].digest
 
 
+def test_spellings_beside_each_other(make):
+    """Equal neighbours, repeated rows, a very long text and ids of any kind."""
+    texts = [(0, "licence licence sub licence"), (1, "license license sublicense"), (1, "License, license: sublicense!"), (2, "word " * 200_000), (None, "licence")]
+    for published in (False, True):
+        got = licenses.licenses(make(texts), published).collect()
+        assert len(got) == len(texts) and len({r.digest for r in got if r.doc_id in (0, 1)}) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_whole_published_licenses(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1"}
+    texts = {n: open(f"/usr/share/common-licenses/{n}", encoding="utf-8").read() for n in files}
+    docs = spark.createDataFrame([(n, t) for n, t in texts.items()] + [(n + "-wrapped", " ".join(t.upper().split(" "))) for n, t in texts.items()], "doc_id string, text string")
+    got = {r.doc_id: r.license_id for r in licenses.licenses(docs, published=True).collect()}
+    assert all(got[n] == name and got[n + "-wrapped"] in (name, None) for n, name in files.items())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="ad">Buy now, it is a very good offer for all of you today.</div>
 <div id="content"><h1>Head &amp; line</h1><p><b>First   paragraph with some words.<br><p>Second one with <a href="x">a link</a> inside of it, and more text.</p><form><input><button>Go</button></form></div>
 <aside>related things</aside><div class="comments"><p>I think this is a long comment by a reader of the page.</p></div><footer>&copy; site</footer></body></html>"""
