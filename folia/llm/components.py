@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     path. Labels are a written table after each round, so lost executors cost one round at most.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), tag)
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), tag)
+    step = labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), tag)
     while True:
         by_a = both.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
         across = by_a.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
@@ -25,7 +25,9 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         hooked = labels.join(hook, labels["label"] == hook["root"], "left").select("node", F.col("label").alias("old"), F.coalesce("to", "label").alias("label"))
         # Jump: a node takes the label that its label's node has now.
         now = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        step = materialize(hooked.join(now, "label", "left").select("node", "old", F.coalesce("next", "label").alias("label")), tag)
+        before, step = step, materialize(hooked.join(now, "label", "left").select("node", "old", F.coalesce("next", "label").alias("label")), tag)
+        discard(before)
         labels = step.select("node", "label")
         if step.where("old <> label").isEmpty():
+            discard(both)
             return labels

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialize
+from .common import discard, map_slices, materialize
 from .components import components
 from .hashing import mix, shingle_hashes, word_hashes
 
@@ -290,12 +290,14 @@ class _Join:
         small = self.docs.where(F.length("text") < 60 * most).select(F.greatest(size, F.lit(1)).alias("n")).where(F.col("n") <= most).groupBy("n").count().collect()
         scheme = Scheme(percent, boundary({int(n): int(c) for n, c in small}, percent))
         kind = f"doc_id {dict(docs.dtypes)['doc_id']}, digest long, n long, node long, check long, bits binary, sigs array<long>"
-        rows = materialize(map_slices(self.docs, _sets(words, scheme, name_bits), kind), "sets")
+        self.sets = rows = materialize(map_slices(self.docs, _sets(words, scheme, name_bits), kind), "sets")
         clash = rows.where("n > 0").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("node", F.lit(True).alias("clash"))
         self.clash = materialize(clash, "clashes")
         self.clashes = not self.clash.isEmpty()
         self.rows = self._renamed(rows)
-        self.nodes = self.rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "digest")).alias("row"), F.first("bits").alias("bits"))
+        # Every later step joins the nodes, so they are worked out once.
+        nodes = self.rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "digest")).alias("row"), F.first("bits").alias("bits"))
+        self.nodes = materialize(nodes, "nodes")
 
     def _renamed(self, rows: DataFrame) -> DataFrame:
         """Names that different sets share, drawn again."""
@@ -309,7 +311,9 @@ class _Join:
         entries = self.rows.select(F.explode("sigs").alias("sig"), "node")
         # Written on their own: the shuffle of the counts is gone before that of the lists, and the engine splits a hot list.
         shared = materialize(entries.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig"), "shared")
-        lists = materialize(entries.join(shared, "sig"), "lists").distinct()
+        raw = materialize(entries.join(shared, "sig"), "lists")
+        lists = materialize(raw.distinct(), "lists")
+        discard(shared, raw)
         # Stars: each node looks at one pivot of another component, the one of most of its lists.
         # Pivots are drawn by a hash that is the same in all lists and new in each round.
         links, labels = None, None
@@ -320,7 +324,9 @@ class _Join:
             pivot = F.when(F.col("label") != F.col("p.label"), F.col("p.node")).when(F.col("label") != F.col("y"), F.col("far")).otherwise(F.col("close"))
             best = (named.join(ends, "sig").select("node", pivot.alias("pivot")).groupBy("node", "pivot").agg(F.count("*").alias("c"))
                     .groupBy("node").agg(F.max(F.struct("c", F.xxhash64("pivot", F.lit(turn)).alias("h"), "pivot")).alias("m")).select(F.least("m.pivot", "node").alias("a"), F.greatest("m.pivot", "node").alias("b")).distinct())
-            new = self._linked(materialize(self._plausible(best), "pairs"))
+            pairs = materialize(self._plausible(best), "pairs")
+            new = self._linked(pairs)
+            discard(pairs)
             links = new if links is None else links.unionByName(new)
             if turn and new.isEmpty():
                 break
@@ -330,6 +336,7 @@ class _Join:
             new, more = self._between(lists, labels, most)
             links = links.unionByName(new)
             if not more:
+                discard(lists)
                 return links
             labels, most = components(links), most * 16
 
@@ -337,7 +344,7 @@ class _Join:
         """Links between components of a list, and whether there may be more of them."""
         named = lists.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         mixed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("sig", "m")
-        open_ = named.join(mixed, "sig").join(self.rows.select("node", "n").where("n > 0").distinct(), "node")
+        open_ = named.join(mixed, "sig").join(self.nodes.select("node", "n"), "node")
         # Short lists pair their entries; the number of these pairs follows the number of lists.
         few = open_.where(F.col("m") <= SHORT)
         other = few.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
@@ -355,15 +362,18 @@ class _Join:
         long_pairs = (dealt.repartition(F.col("sig"), F.col("bi"), F.col("bj")).sortWithinPartitions("sig", "bi", "bj")
                       .mapInPandas(_across(self.percent, most), "a long, b long"))
         pairs = materialize(self._plausible(short_pairs).unionByName(long_pairs).distinct(), "pairs")
-        return self._linked(pairs.where("a >= 0")), not pairs.where("a < 0").isEmpty()
+        new, more = self._linked(pairs.where("a >= 0")), not pairs.where("a < 0").isEmpty()
+        discard(pairs)
+        return new, more
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_plausible_pairs(self.percent), "a long, b long")
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are linked, as a table of their own."""
         if pairs.isEmpty():
-            return pairs
+            return materialize(pairs.limit(0), "links")
         used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         # One row of each node is read again; its set has the node's name, whatever else has the row's id.
         row = materialize(used.join(self.nodes.select("node", "row"), "node").select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")).distinct(), "wanted")
@@ -371,7 +381,9 @@ class _Join:
         content = self._renamed(map_slices(texts, _content(self.words, self.name_bits), "node long, check long, s binary")).drop("check")
         sets = materialize(content.dropDuplicates(["node"]), "content")
         side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
-        return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_count(self.percent), "a long, b long"), "links")
+        links = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_count(self.percent), "a long, b long"), "links")
+        discard(row, sets)
+        return links
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, name_bits: int = 63) -> DataFrame:
@@ -383,14 +395,17 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, name
     by_node = named.join(least, "label").select(F.col("node").alias("_node"), "component_id")
     rows = j.rows.select("doc_id", "n", "node")
     full = rows.where("n > 0").join(by_node, F.col("node") == F.col("_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    found = materialize(full, "groups")
+    discard(j.sets, j.clash, j.nodes)
+    return found
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of linked ones, the one of least doc_id; documents without words
     stay. Where ids repeat, a row stays if any row of its id has the group's least id; of rows with
     equal doc_id and text one stays."""
-    found = materialize(ngram_join(docs, words, percent), "groups")
+    found = ngram_join(docs, words, percent)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
