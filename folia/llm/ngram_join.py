@@ -1,13 +1,13 @@
 """Exact Jaccard self-join on word n-grams: a size-aware heavy-light join.
 
 *Light* sets (up to a boundary) enumerate the subsets that a partner must share: all subsets
-that leave out at most ``(1 - t) * n`` shingles. *Heavy* sets are cut by shingle hash into
-``P`` blocks, and scan inverted lists keyed by whole blocks: linked sets differ in at most
-``k`` shingles, so with more than ``k`` filled blocks one is equal in both. A list of whole
-blocks is short even for shingles that a large part of the corpus shares, which lists of single
-shingles are not. The boundary is the size of least estimated cost over the histogram of set
-sizes. Sizes fall into bands of growth ``BAND``; the larger of two sets in neighbouring bands
-also joins the lower band.
+that leave out at most ``(1 - t) * n`` shingles. *Heavy* sets scan inverted lists of single
+shingles: with all shingles in one order, linked sets share one of the first ``n - ceil(t * n) + 1``
+of each (prefix filter), so a set is in the lists of these only, and partners must be near in size.
+Any order is exact; the one used puts shingles first that are rare in the corpus by a count over
+all texts in ``COUNTERS`` hashed counters, so that lists are short. The counters merge by addition
+and their size is fixed, whatever the corpus. The boundary is the size of least estimated cost
+over the histogram of set sizes.
 
 Equal sets are one node. In a few rounds each node is compared with one pivot of its lists;
 nodes that this connects need no more looks at each other. Lists that still hold several
@@ -28,6 +28,7 @@ keeps its row and never names a component; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import combinations
@@ -43,7 +44,9 @@ from .hashing import mix, shingle_hashes, word_hashes
 
 WORDS = 3
 PERCENT = 90
-BAND = 1.5
+#: Counters of shingles, and tasks that add them up before the last one.
+COUNTERS = 1 << 20
+MERGERS = 32
 #: Largest boundary that is considered, and the weight of looking at a heavy list entry.
 MOST_LIGHT = 40
 HEAVY_WEIGHT = 3.0
@@ -75,30 +78,13 @@ class Scheme:
     def left_out(self, n: int) -> int:
         return math.floor((1 - self.t) * n)
 
-    def bands(self, n: int) -> list[tuple[int, int, int]]:
-        """(band, k, blocks) that a heavy set of size n joins."""
-        start, band, out = self.boundary + 1, 0, []
-        while start <= n:
-            end = max(start + 1, math.ceil(start * BAND))
-            if n < end or n * self.t < end:
-                k = math.floor((end - 1) * (1 - self.t) / self.t)
-                out.append((band, k, self._blocks(k, start)))
-            start, band = end, band + 1
-        return out
-
-    @staticmethod
-    def _blocks(k: int, n: int) -> int:
-        """Blocks such that sets of n shingles hardly ever fill k or fewer."""
-        p = k + 1
-        while True:
-            empty = p * math.exp(-n / p)
-            if p - empty - 3 * math.sqrt(empty) >= k + 1 or p > 4 * n:
-                return p
-            p += 1
+    def prefix(self, n: int) -> int:
+        """Shingles of a heavy set of size n that have it in their lists."""
+        return n - math.ceil(self.t * n) + 1
 
     def cost(self, n: int) -> tuple[float, float]:
         light = sum(math.comb(n, i) for i in range(self.left_out(n) + 1)) if n <= 2 * MOST_LIGHT else math.inf
-        heavy = HEAVY_WEIGHT * sum(p for _, _, p in self.bands(n))
+        heavy = HEAVY_WEIGHT * self.prefix(n)
         return light, heavy
 
 
@@ -146,8 +132,12 @@ def _fold(bitmap: bytes, size: int) -> np.ndarray:
     return x
 
 
-def signatures(s: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """Keys of the lists that the set joins."""
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (mix(s ^ _U(0x5151)) & _U(COUNTERS - 1)).astype(np.int64)
+
+
+def signatures(s: np.ndarray, scheme: Scheme, counts: np.ndarray) -> np.ndarray:
+    """Keys of the lists that the set joins; ``counts`` says how frequent the shingles of a counter are."""
     n, out = len(s), []
     if scheme.light(n):
         d = scheme.left_out(n)
@@ -156,18 +146,49 @@ def signatures(s: np.ndarray, scheme: Scheme) -> np.ndarray:
         rest = np.array([x for x, _ in left], _U) ^ np.bitwise_xor.reduce(m)
         out.append(mix(rest ^ mix(np.array([z for _, z in left], _U))))
     if scheme.heavy(n):
-        for band, k, p in scheme.bands(n):
-            block = (mix(s ^ _U(0x5151)) % _U(p)).astype(np.int64)
-            sums = np.zeros(p, _U)
-            np.add.at(sums, block, mix(s ^ _U(0x7777)))
-            filled = np.bincount(block, minlength=p) > 0
-            keys = mix(sums ^ mix(np.arange(p, dtype=_U) * _U(1 << 20) + _U(band)))
-            # With k or fewer filled blocks, agreement may be on empty blocks only: these count too.
-            out.append(keys[filled] if filled.sum() > k else keys)
+        first = np.lexsort((s, counts[_counter(s)]))[: scheme.prefix(n)]
+        out.append(mix(s[first] ^ _U(0x7777)))
     return np.unique(np.concatenate(out)) if out else np.empty(0, _U)
 
 
-def _sets(k: int, scheme: Scheme, name_bits: int):
+def _tally(k: int):
+    """Counters of the shingles of the partition's texts, copies once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            found = [np.empty(0, _U)]
+            for digest, text in zip(b["digest"], b["text"]):
+                if digest not in seen:
+                    found.append(shingle_hashes(word_hashes(text), k))
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(digest)
+            total += np.bincount(_counter(np.concatenate(found)), minlength=COUNTERS)
+        yield pd.DataFrame({"counts": [zlib.compress(total.tobytes(), 1)]})
+
+    return run
+
+
+def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        for packed in b["counts"]:
+            total += np.frombuffer(zlib.decompress(packed), np.int64)
+    yield pd.DataFrame({"counts": [zlib.compress(total.tobytes(), 1)]})
+
+
+def frequencies(docs: DataFrame, k: int) -> np.ndarray:
+    """A byte for each counter, eight steps for each doubling of its count: a megabyte for any corpus."""
+    kind = "counts binary"
+    each = map_slices(docs.select("digest", "text"), _tally(k), kind)
+    whole = each.repartition(MERGERS).mapInPandas(_add, kind).repartition(1).mapInPandas(_add, kind).collect()
+    total = sum((np.frombuffer(zlib.decompress(r.counts), np.int64) for r in whole), np.zeros(COUNTERS, np.int64))
+    return np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
+
+
+def _sets(k: int, scheme: Scheme, counts: np.ndarray, name_bits: int):
     """Size, name, bitmap and lists of each document's set; of copies within a partition one has the lists."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,7 +201,7 @@ def _sets(k: int, scheme: Scheme, name_bits: int):
                 node = node_of(s, name_bits)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                rows.append((doc_id, digest, len(s), *node, parity(s), none if node in seen else signatures(s, scheme).view(np.int64)))
+                rows.append((doc_id, digest, len(s), *node, parity(s), none if node in seen else signatures(s, scheme, counts).view(np.int64)))
                 seen.add(node)
             yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "node", "check", "bits", "sigs"])
 
@@ -290,7 +311,8 @@ class _Join:
         small = self.docs.where(F.length("text") < 60 * most).select(F.greatest(size, F.lit(1)).alias("n")).where(F.col("n") <= most).groupBy("n").count().collect()
         scheme = Scheme(percent, boundary({int(n): int(c) for n, c in small}, percent))
         kind = f"doc_id {dict(docs.dtypes)['doc_id']}, digest long, n long, node long, check long, bits binary, sigs array<long>"
-        self.sets = rows = materialize(map_slices(self.docs, _sets(words, scheme, name_bits), kind), "sets")
+        counts = frequencies(self.docs, words)
+        self.sets = rows = materialize(map_slices(self.docs, _sets(words, scheme, counts, name_bits), kind), "sets")
         clash = rows.where("n > 0").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("node", F.lit(True).alias("clash"))
         self.clash = materialize(clash, "clashes")
         self.clashes = not self.clash.isEmpty()

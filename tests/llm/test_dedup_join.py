@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -157,6 +158,23 @@ def test_join_of_shared_and_null_ids(make, turn, name_bits):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows, 3, 80)
 
 
+def test_linked_heavy_sets_share_a_list():
+    """Whatever the counts say, and for the least overlap that still links."""
+    r = np.random.default_rng(5)
+    for percent in (80, 90):
+        scheme = ngram_join.Scheme(percent, 9)
+        for n in [*range(11, 60), 500]:
+            counts = r.integers(0, 4, ngram_join.COUNTERS).astype(np.uint8)
+            x = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+            for m in range(math.ceil(n * percent / 100), n + 1):
+                both = max(math.ceil(percent * (n + m) / (100 + percent)), 0)
+                if m <= 9 or both > m:
+                    continue
+                y = np.unique(np.append(r.choice(x, both, replace=False), r.integers(1 << 62, 1 << 63, m - both).astype(np.uint64)))
+                assert 100 * both >= percent * (n + m - both)
+                assert len(np.intersect1d(ngram_join.signatures(x, scheme, counts), ngram_join.signatures(y, scheme, counts)))
+
+
 def test_keep_one(make, edge_texts):
     kept = sorted((x.doc_id is None, x.doc_id or 0) for x in ngram_join.keep_one(make(edge_texts)).collect())
     ids = [i for none, i in kept if not none]
