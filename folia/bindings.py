@@ -204,9 +204,17 @@ def _reading(p: DataFrame, drop: int | None) -> DataFrame:
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     t = _reading(pages(spark, d), None).select("doc_id", "page_number", (F.col("page_number") - 1).alias("n"), F.posexplode("w").alias("pos", "text"))
+    t = t.withColumn("pos", F.col("pos").cast("long"))
     return t.withColumn("confidence", ((F.col("n") * 7919 + F.col("pos") * 104729 + F.length("text") * 31) % 1000) / 10.0)
 
 
+def token_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that carry their words and their tokens in arrays."""
+    n = F.col("page_number") - 1
+    confidence_of = lambda w, i: ((n * 7919 + i.cast("long") * 104729 + F.length(w) * 31) % 1000) / 10.0
+    return _reading(pages(spark, d), None).withColumn("tokens", F.transform("w", lambda w, i: F.struct(w.alias("text"), confidence_of(w, i).alias("confidence"))))
+
+
 @_query("token_filter", f"SELECT doc_id, count(*)::bigint AS n, round(sum(confidence), 4) AS total FROM ({_TOKENS}) WHERE confidence >= 0 GROUP BY doc_id")
 def _(spark, d):
     return confidence.keep_tokens(tokens(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"), _r(F.sum("confidence"), 4).alias("total"))
@@ -214,7 +222,7 @@ def _(spark, d):
 
 @_query("page_confidence", f"SELECT doc_id, page_number, total_tokens, round(raw_avg_confidence, 6) AS raw_avg_confidence, round(avg_confidence, 6) AS avg_confidence, low_conf_tokens, round(low_conf_ratio, 6) AS low_conf_ratio FROM ({_CONF})")
 def _(spark, d):
-    c = confidence.page_confidence(pages(spark, d), confidence.keep_tokens(tokens(spark, d)))
+    c = confidence.page_confidence_in_place(token_pages(spark, d))
     return c.select("doc_id", "page_number", "total_tokens", *[_r(F.col(x)).alias(x) for x in ("raw_avg_confidence", "avg_confidence", "low_conf_ratio")], "low_conf_tokens")
 
 
@@ -312,14 +320,13 @@ g AS (SELECT *, CASE WHEN failed = '' THEN 'approved' ELSE 'needs_review' END AS
 
 
 def joined(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d)
+    p = confidence.page_confidence_in_place(token_pages(spark, d))
     n = F.col("page_number") - 1
-    read = _reading(p, 11).where(n % 17 != 0).select("doc_id", "page_number", F.array_join("w", " ").alias("ocr_text"), ((n * 37 % 100) / 100.0).alias("pass_similarity"),
-                                                  F.when(n % 3 == 0, "text").when(n % 3 == 1, "table").otherwise("noisy").alias("layout"))
-    c = confidence.page_confidence(p, confidence.keep_tokens(tokens(spark, d))).select("doc_id", "page_number", "avg_confidence", "low_conf_ratio")
-    hide = lambda x: F.when(n % 17 != 0, F.col(x)).alias(x)
-    return (p.select("doc_id", "page_number", F.col("text").alias("native_text")).join(read, ["doc_id", "page_number"], "left").join(c, ["doc_id", "page_number"], "left")
-            .select("doc_id", "page_number", "native_text", "ocr_text", "pass_similarity", "layout", hide("avg_confidence"), hide("low_conf_ratio")))
+    seen = lambda x, name: F.when(n % 17 != 0, x).alias(name)
+    read = F.array_join(F.filter("w", lambda x, i: (i + 1) % 11 != 0), " ")
+    layout = F.when(n % 3 == 0, "text").when(n % 3 == 1, "table").otherwise("noisy")
+    return p.select("doc_id", "page_number", F.col("text").alias("native_text"), seen(read, "ocr_text"), seen((n * 37 % 100) / 100.0, "pass_similarity"), seen(layout, "layout"),
+                    seen(F.col("avg_confidence"), "avg_confidence"), seen(F.col("low_conf_ratio"), "low_conf_ratio"))
 
 
 _STATUS_SQL = " SELECT doc_id, page_number, page_type, decision, selected_source, failed AS failed_gates, status, round(native_similarity, 6) AS native_similarity FROM g"

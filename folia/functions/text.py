@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
 #: Texts up to this many characters use the built-in distance; longer ones the bit-parallel one.
@@ -59,9 +61,26 @@ def bit_parallel_distance(a, b) -> int:
     return score
 
 
-@pandas_udf(LongType())
-def _sequence_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else 0 if len(x) == len(y) and list(x) == list(y) else bit_parallel_distance(list(x), list(y)) for x, y in zip(a, b)], dtype="Int64")
+def _differing(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
+    """Two sequences without their common beginning and end, which cost nothing."""
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    head = int(apart[0]) if len(apart) else n
+    a, b, n = a[head:], b[head:], n - head
+    apart = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    tail = int(apart[0]) if len(apart) else n
+    return a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+
+
+@arrow_udf(LongType())
+def _sequence_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Levenshtein distance of arrays. The elements of a batch become numbers of one dictionary, so no
+    element is a Python object; null if either array is."""
+    known = pc.and_(pc.is_valid(a), pc.is_valid(b)).to_numpy(zero_copy_only=False)
+    codes = pc.fill_null(pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    ends = [np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False))) for x in (a, b)]
+    left, right = codes[: ends[0][-1]], codes[ends[0][-1] :]
+    return pa.array([bit_parallel_distance(*_differing(left[ends[0][i] : ends[0][i + 1]], right[ends[1][i] : ends[1][i + 1]])) if known[i] else None for i in range(len(a))], pa.int64())
 
 
 def char_distance(a: Column, b: Column) -> Column:

@@ -28,6 +28,20 @@ def page_confidence(pages: DataFrame, tokens: DataFrame) -> DataFrame:
     return out.withColumn("low_conf_ratio", F.try_divide(F.col("low_conf_tokens").cast("double"), F.col("total_tokens").cast("double")))
 
 
+def page_confidence_in_place(pages: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """``page_confidence`` of pages that carry their tokens in an array of (text, confidence), beside the
+    pages' own columns: no token leaves its row, so nothing is shuffled."""
+    named = F.filter(tokens, lambda t: strip(t["text"]) != "")
+    usable = F.filter(F.transform(named, lambda t: t["confidence"].try_cast("double")), lambda c: c >= 0)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, c: s + c)
+    df = pages.withColumn("_all", F.coalesce(usable, F.array().cast("array<double>"))).withColumn("_high", F.filter("_all", lambda c: c >= HIGH_CONFIDENCE))
+    n, high = F.size("_all").cast("long"), F.size("_high").cast("long")
+    df = df.withColumns({"total_tokens": n, "raw_avg_confidence": F.try_divide(total("_all"), n.cast("double")), "low_conf_tokens": n - high,
+                         "high_sum": F.when(high > 0, total("_high")), "high_tokens": high}).drop("_all", "_high")
+    return df.withColumns({"avg_confidence": F.try_divide(F.col("high_sum"), F.col("high_tokens").cast("double")),
+                           "low_conf_ratio": F.try_divide(F.col("low_conf_tokens").cast("double"), F.col("total_tokens").cast("double"))})
+
+
 def doc_stats(confidence: DataFrame) -> DataFrame:
     """Per document: tokens, and the mean of all its confident tokens pooled."""
     pooled = F.try_divide(F.sum("high_sum"), F.sum("high_tokens").cast("double"))
