@@ -86,9 +86,19 @@ def _(spark, d):
     return _table(spark, d, "documents").select("doc_id", scripts.looks_sane(F.col("text")).alias("sane"))
 
 
-@_query("output_valid", f"""SELECT doc_id, {_BODY} <> '' AS valid FROM documents""")
+# Texts with Thai letters, many or few; short and empty ones; every third in a language that isn't judged.
+_FOREIGN = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'en-IN' ELSE 'kn-IN' END AS language, CASE doc_id % 5 WHEN 1 THEN translate(text, 'aeiou', 'กขคงจ') WHEN 2 THEN translate(text, 'kwyz', 'กขคง')
+ WHEN 3 THEN 'ab กข' WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE translate(text, 'bfp', 'กขค') END ELSE text END AS text FROM documents"""
+
+
+@_query("output_valid", f"""WITH b AS (SELECT doc_id, language, {_BODY} AS b FROM ({_FOREIGN})),
+c AS (SELECT *, length(regexp_replace(b, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(b, '[^\\x{{0E00}}-\\x{{0E7F}}]', '', 'g')) AS thai FROM b)
+SELECT doc_id, CASE WHEN b = '' THEN false WHEN language = 'en-IN' OR letters < 5 THEN true ELSE thai::double / letters <= 0.05 END AS valid FROM c""")
 def _(spark, d):
-    return _table(spark, d, "documents").select("doc_id", scripts.output_valid(F.col("text"), F.lit("kn-IN")).alias("valid"))
+    n, t = F.col("doc_id"), F.col("text")
+    mixed = (F.when(n % 5 == 1, F.translate(t, "aeiou", "กขคงจ")).when(n % 5 == 2, F.translate(t, "kwyz", "กขคง")).when(n % 5 == 3, "ab กข")
+             .when((n % 5 == 4) & (n % 2 == 0), " ").when(n % 5 == 4, F.translate(t, "bfp", "กขค")).otherwise(t))
+    return _table(spark, d, "documents").select("doc_id", scripts.output_valid(mixed, F.when(n % 3 == 0, "en-IN").otherwise("kn-IN")).alias("valid"))
 
 
 @_query("normalize_text", f"SELECT doc_id, {_NORM.format('text')} AS normalized FROM documents")
@@ -102,9 +112,18 @@ def _(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[\x{0C80}-\x{0CFF}]")).cast("double").alias("kannada"), scripts.purity(F.col("text")).alias("purity"))
 
 
-@_query("degraded_pages", f"SELECT doc_id, count(*)::bigint AS pages, count(*)::bigint AS degraded, 0::bigint AS clean FROM ({_PAGES}) GROUP BY doc_id")
+# Pages of which none, some or nearly all letters are Kannada.
+_KANNADA = "ಅಆಇಈಉಊಎಏಐಒಓಔಕಖಗಘಚಛಜಝಟಠಡಢತಥ"
+
+
+@_query("degraded_pages", f"""WITH t AS (SELECT doc_id, CASE page_number % 3 WHEN 0 THEN translate(lower(text), 'aeiost', '{_KANNADA[:6]}') WHEN 1 THEN translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{_KANNADA}') ELSE text END AS text FROM ({_PAGES})),
+c AS (SELECT doc_id, length(regexp_replace(text, '[^\\x{{0C80}}-\\x{{0CFF}}]', '', 'g'))::double AS own, length(regexp_replace(text, '[\\p{{Z}}\\p{{N}}\\p{{P}}\\s]', '', 'g')) AS n FROM t),
+p AS (SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE own / n END AS purity FROM c)
+SELECT doc_id, count(*)::bigint AS pages, count(*) FILTER (purity < 0.5)::bigint AS degraded, count(*) FILTER (purity >= 0.8)::bigint AS clean FROM p GROUP BY doc_id""")
 def _(spark, d):
-    p = pages(spark, d).withColumn("purity", scripts.purity(F.col("text")))
+    n, low = F.col("page_number"), F.lower("text")
+    mixed = F.when(n % 3 == 0, F.translate(low, "aeiost", _KANNADA[:6])).when(n % 3 == 1, F.translate(low, "abcdefghijklmnopqrstuvwxyz", _KANNADA)).otherwise(F.col("text"))
+    p = pages(spark, d).withColumn("purity", scripts.purity(mixed))
     return p.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.col("purity") < 0.5).alias("degraded"), F.count_if(F.col("purity") >= 0.8).alias("clean"))
 
 
@@ -165,7 +184,11 @@ def _(spark, d):
     return report.threshold_failures(e).select("item_id", F.col("wer_similarity").alias("similarity"))
 
 
-@_query("fuzzy_similarity")
+_SQUEEZED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+@_query("fuzzy_similarity", f"""WITH p AS (SELECT item_id, {_SQUEEZED.format('ref')} AS a, {_SQUEEZED.format('hyp')} AS b FROM ({_PAIRS})), w AS (SELECT *, string_split(a, ' ') AS r, string_split(b, ' ') AS h, string_split(a, '') AS x, string_split(b, '') AS y FROM p)
+SELECT item_id, greatest(0.0, round(1 - {_distance_sql('x', 'y')}::double / length(a), 4)) AS char_similarity, greatest(0.0, round(1 - {_distance_sql('r', 'h')}::double / len(r), 4)) AS word_similarity FROM w""")
 def _(spark, d):
     return pairs(spark, d).select("item_id", *[c.alias(n) for n, c in report.fuzzy(F.col("ref"), F.col("hyp")).items()])
 

@@ -79,7 +79,10 @@ def _(spark, d):
     return images.table_boxes(image_rows(spark, d).withColumnsRenamed({"width": "w", "height": "h"})).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@_query("table_rows")
+@_query("table_rows", """WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY y, x, w, h) AS k FROM
+ (SELECT l_orderkey AS table_id, (l_partkey % 200)::double AS y, (l_suppkey % 100)::double AS x, 20.0::double AS w, (l_quantity + 10)::double AS h FROM lineitem)),
+r AS (SELECT *, 0 AS row, y AS anchor FROM b WHERE k = 1 UNION ALL SELECT b.*, CASE WHEN abs(b.y - r.anchor) > b.h THEN r.row + 1 ELSE r.row END, CASE WHEN abs(b.y - r.anchor) > b.h THEN b.y ELSE r.anchor END
+ FROM r JOIN b ON b.table_id = r.table_id AND b.k = r.k + 1) SELECT table_id, y, x, w, h, row::int AS row FROM r""")
 def _(spark, d):
     li = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), (F.col("l_partkey") % 200).alias("y"), (F.col("l_suppkey") % 100).alias("x"), F.lit(20).alias("w"), (F.col("l_quantity") + 10).alias("h"))
     return images.table_rows(li)
@@ -148,11 +151,16 @@ def _(spark, d):
     return questions.enrich(segments(spark, d)).select("doc_id", "question_number", "marks", "difficulty", "has_figure")
 
 
-@_query("options", _LINES + " SELECT doc_id, question_number, 2::int AS n_options, 'A=one' AS first_option FROM q WHERE regexp_matches(text, '\\(A\\) one \\(B\\) two')")
+@_query("options", """SELECT conv_id, turn, (turn % 5)::int AS n_options, CASE WHEN turn % 5 > 0 THEN 'A=first ' || turn || CASE WHEN turn % 5 > 1 THEN ',B=(2) ' || conv_id ELSE '' END || CASE WHEN turn % 5 > 2 THEN ',C=third' ELSE '' END
+ || CASE WHEN turn % 5 > 3 THEN ',D=all' ELSE '' END ELSE '' END AS listed FROM conversations""")
 def _(spark, d):
-    e = questions.enrich(segments(spark, d)).where("size(options) > 0")
-    first = F.col("options")[0]
-    return e.select("doc_id", "question_number", F.size("options").alias("n_options"), F.concat(first["label"], F.lit("="), first["text"]).alias("first_option"))
+    """No option to four of them, in either case, with white space and brackets inside."""
+    n = F.col("turn") % 5
+    part = lambda k, *xs: F.when(n > k, F.concat(*xs)).otherwise("")
+    question = F.concat(F.lit("Which (of these)?"), part(0, F.lit(" (a)  first "), F.col("turn").cast("string")), part(1, F.lit(" (B) (2) "), F.col("conv_id").cast("string")), part(2, F.lit("\n(C) third  ")), part(3, F.lit("(d)all ")))
+    found = questions.options(question)
+    listed = F.array_join(F.transform(found, lambda o: F.concat(o["label"], F.lit("="), o["text"])), ",")
+    return _table(spark, d, "conversations").select("conv_id", "turn", F.size(found).alias("n_options"), listed.alias("listed"))
 
 
 @_query("or_rows", _LINES + """ SELECT doc_id, question_number, '' AS prefix FROM q UNION ALL SELECT doc_id, question_number * 1000, '[OR]' FROM q WHERE or_text IS NOT NULL""")
@@ -236,10 +244,10 @@ def _(spark, d):
     return _jobs(jobs.listing(jobs.latest(job_events(spark, d)), "processing"))
 
 
-@_query("job_with_stored", f"SELECT job_id, status, n_events, epoch_us(updated_at) AS updated_us FROM ({_LATEST})")
+@_query("job_with_stored", f"SELECT job_id, CASE WHEN status = 'processing' THEN status ELSE 'stored' END AS status, n_events, epoch_us(updated_at) AS updated_us FROM ({_LATEST})")
 def _(spark, d):
     all_ = jobs.latest(job_events(spark, d))
-    return _jobs(jobs.with_stored(all_.where("status = 'processing'"), all_))
+    return _jobs(jobs.with_stored(all_.where("status = 'processing'"), all_.withColumn("status", F.lit("stored"))))
 
 
 # HTML and small functions -----------------------------------------------------------------------
@@ -255,9 +263,12 @@ def _(spark, d):
     return _table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 16777216 == 0, "#000").otherwise(text.css_color((F.col("o_orderkey") * 7919 % 16777216).cast("int"))).alias("color"))
 
 
-@_query("latex_text", "SELECT p_partkey, 'a x b / ' || p_name AS plain FROM part")
+@_query("latex_text", """SELECT p_partkey, trim(regexp_replace('x' || (['', 'sqrt', ' x ', ' / ', ' +/- ', ' <= ', ' >= ', ' != ', 'infinity', 'pi', 'alpha', 'beta', 'gamma', 'theta', 'SUM', 'INTEGRAL', 'lim', ' -> ', ' <- ', ' => ', ' . ', '...', ''])[p_partkey % 23 + 1]
+ || ' ' || p_name || ' y', '\\s+', ' ', 'g')) AS plain FROM part""")
 def _(spark, d):
-    return _table(spark, d, "part").select("p_partkey", text.latex_text(F.concat(F.lit(r"a \times b \div \mathrm{"), F.col("p_name"), F.lit("}"))).alias("plain"))
+    commands = F.array(*[F.lit("\\" + c) for c in ("frac sqrt times div pm leq geq neq infty pi alpha beta gamma theta sum int lim rightarrow leftarrow Rightarrow cdot ldots unknown").split()])
+    command = F.element_at(commands, (F.col("p_partkey") % 23 + 1).cast("int"))
+    return _table(spark, d, "part").select("p_partkey", text.latex_text(F.concat(F.lit("x"), command, F.lit("{"), F.col("p_name"), F.lit(r"}\mathrm y"))).alias("plain"))
 
 
 @_query("natural_sort", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey)::int AS place FROM part")
@@ -268,9 +279,13 @@ def _(spark, d):
     return _table(spark, d, "part").select("p_partkey", F.row_number().over(Window.orderBy(natural_key(name))).alias("place"))
 
 
-@_query("document_html", "SELECT source AS doc_id, count(*)::bigint AS sections FROM documents GROUP BY source")
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+@_query("document_html", f"""SELECT source AS doc_id, count(*)::bigint AS sections, md5('<!DOCTYPE html><html><head><meta charset="utf-8"><title>' || source || '</title></head><body>' || string_agg('<section id="page-' || (doc_id + 1) || '" style="width:918.0px;height:1188.0px">'
+ || CASE WHEN coalesce(text, '') <> '' THEN '<pre class="fallback-text">' || {_ESCAPED} || '</pre>' ELSE '' END || '</section>', chr(10) ORDER BY doc_id) || '</body></html>') AS digest FROM documents GROUP BY source""")
 def _(spark, d):
     p = pages(spark, d).withColumns({"page_width": F.lit(612.0), "page_height": F.lit(792.0)})
     none = p.select("doc_id", "page_number", F.lit(0).alias("idx"), F.lit("").alias("html")).where("false")
     out = html.document_html(html.page_html(html.geometry(p), none))
-    return out.select("doc_id", F.regexp_count("html", F.lit("<section ")).cast("long").alias("sections"))
+    return out.select("doc_id", F.regexp_count("html", F.lit("<section ")).cast("long").alias("sections"), F.md5("html").alias("digest"))

@@ -41,4 +41,4 @@ def document_html(pages: DataFrame) -> DataFrame:
     part = F.format_string('<section id="page-%d" style="width:%spx;height:%spx">%s</section>', "page_number", F.col("container_w").cast("string"), F.col("container_h").cast("string"), "body")
     parts = F.array_sort(F.collect_list(F.struct("page_number", part.alias("html"))))
     body = F.array_join(F.transform(parts, lambda p: p["html"]), "\n")
-    return pages.groupBy("doc_id").agg(F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), escape_html(F.first("doc_id").cast("string")), F.lit("</title></head><body>"), body, F.lit("</body></html>")).alias("html"))
+    return pages.groupBy("doc_id").agg(F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), escape_html(F.col("doc_id").cast("string")), F.lit("</title></head><body>"), body, F.lit("</body></html>")).alias("html"))

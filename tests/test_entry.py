@@ -21,7 +21,8 @@ def test_entry(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")
 @pytest.mark.parametrize("name", ["page_confidence", "gate_status_strict", "consensus", "question_segments", "otsu", "job_latest", "document_assembly", "image_question_assoc",
-                                  "image_paths", "enriched_pages", "engine_routing", "question_order", "json_list", "safe_limits"])
+                                  "output_valid", "degraded_pages", "options", "fuzzy_similarity", "table_rows", "job_with_stored", "latex_text", "document_html",
+                                  "uploads", "missing_pages", "storage_keys", "usable_diagrams", "canonical_json", "doc_stats", "image_paths", "enriched_pages", "engine_routing", "question_order", "json_list", "safe_limits"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()

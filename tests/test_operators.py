@@ -57,6 +57,17 @@ def test_statistics(spark):
     assert confidence.doc_stats(c).first().avg_confidence == 95.0
 
 
+def test_page_confidence_in_place(spark):
+    p = spark.createDataFrame([("d", 1, [("a", "95"), ("b", "90"), (" ", "99"), ("c", "-1"), ("c", "bad"), (None, "99"), ("d", None)]), ("d", 2, []), ("d", 3, None), (None, 4, [("a", "0")])],
+                              "doc_id string, page_number int, tokens array<struct<text:string,confidence:string>>")
+    kind = ["total_tokens", "raw_avg_confidence", "avg_confidence", "low_conf_tokens", "high_sum", "high_tokens", "low_conf_ratio"]
+    got = {r.page_number: r for r in confidence.page_confidence_in_place(p).select("page_number", *kind).collect()}
+    rows = p.select("doc_id", "page_number", F.explode("tokens").alias("t")).select("doc_id", "page_number", "t.*")
+    want = {r.page_number: r for r in confidence.page_confidence(p, confidence.keep_tokens(rows)).select("page_number", *kind).collect()}
+    assert [got[k] for k in (1, 2, 3)] == [want[k] for k in (1, 2, 3)]
+    assert (got[4].total_tokens, got[4].raw_avg_confidence, got[4].low_conf_ratio) == (1, 0.0, 1.0)
+
+
 def test_candidates(spark):
     rows = spark.createDataFrame([("d", 1, 0, "a b c d"), ("d", 1, 1, "a b c x"), ("d", 1, 2, ""), ("d", 2, 0, "solo")], "doc_id string, page_number int, pass_id int, text string")
     scored = confidence.consensus(rows).withColumns({"score": F.lit(1.0), "n_tokens": F.lit(1)})
