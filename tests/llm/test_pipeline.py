@@ -1,7 +1,8 @@
 import re
 
 import corpus_pipeline
-from folia.llm import ngram_join
+import pytest
+from folia.llm import common, ngram_join
 
 from .conftest import words
 from .test_dedup_join import brute_components
@@ -57,3 +58,41 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
 def test_join_boundary_follows_cost():
     assert ngram_join.boundary({}, 90) == 0
     assert ngram_join.boundary({5: 1000}, 90) >= 5
+
+
+def test_stages_give_memory_back_first(spark, monkeypatch):
+    class Begun(Exception):
+        pass
+
+    def begun(spark):
+        raise Begun
+
+    monkeypatch.setattr(common, "give_back", begun)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, None, "")
+
+
+def test_give_back_shrinks_a_grown_heap(spark):
+    gateway, heap = spark.sparkContext._gateway, spark._jvm.java.lang.Runtime.getRuntime()
+    common.give_back(spark)
+    large = [gateway.new_array(spark._jvm.long, 30_000_000) for _ in range(6)]
+    grown = heap.totalMemory()
+    for x in large:
+        gateway.detach(x)
+    common.give_back(spark)
+    assert heap.totalMemory() < 0.6 * grown
+
+
+def test_memory_is_given_back_between_tables(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "give_back", seen.append)
+    monkeypatch.setattr(common, "GIVE_BACK_S", 0)
+    common.materialize(spark.range(3), "plain")
+    assert not seen
+    with common.giving_back(spark):
+        assert len(seen) == 1
+        assert common.materialize(spark.range(3), "lean").count() == 3
+        assert len(seen) == 2
+    common.materialize(spark.range(3), "plain")
+    assert len(seen) == 2
