@@ -197,3 +197,13 @@ def test_components(spark):
 def test_empty(make):
     assert suffix_dedup.query(make([])).count() == 0
     assert ngram_join.query(make([])).count() == 0
+
+
+def test_suffix_dedup_says_which_documents_lose_bytes(make, edge_texts):
+    """A passage of over 50 words and 400 bytes in two documents, a whole copy, and texts that repeat nothing."""
+    passage = " ".join(words(77, 120))
+    texts = [*edge_texts, (40, " ".join(words(41, 60)) + " " + passage), (42, passage + " " + " ".join(words(43, 60))), (44, " ".join(words(45, 150)))]
+    got = suffix_dedup.query(make(texts)).collect()
+    assert all(x.any_removed is (x.n_removed > 0) for x in got)
+    assert {40, 42, 5, 7, 10, 11} <= {x.doc_id for x in got if x.any_removed}
+    assert {0, 1, 2, 3, 4, 44} <= {x.doc_id for x in got if not x.any_removed}
